@@ -5,18 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.neardup import near_duplicates
+from loomgraph.llm.sharding import shard_documents
+from loomgraph.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2, least=(80, 100))
 
 
+def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
+    "op4_warc_round_trip": op4_warc_round_trip,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_lpt_sharding": op10_lpt_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Five hexadecimal digits are four base-32 digits.
+    "op4_warc_round_trip": """
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+        d as (select *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 ((cast('0x' || substr(hex, (i // 4) * 5 + 1, 5) as integer) >> cast(15 - 5 * (i % 4) as integer)) & 31) + 1, 1)),
+                 'string_agg', '') as payload_digest, max(page_id) over (partition by html) as top from p)
+        select page_id, cast(strlen(html) as bigint) as payload_bytes, payload_digest,
+               case when page_id = top then 'response' else 'revisit' end as record_type,
+               case when page_id = top then null else top end as refers_to
+        from d
+    """,
+}

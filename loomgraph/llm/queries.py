@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.decontaminate import decontamination
+from loomgraph.llm.langid import identify
 from loomgraph.llm.neardup import near_duplicates
+from loomgraph.llm.pieces import encode_documents
+from loomgraph.llm.quality import quality
 from loomgraph.llm.sharding import shard_documents
+from loomgraph.llm.toxicity import toxicity
 from loomgraph.llm.warc import round_trip
 
 
@@ -13,21 +18,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2, least=(80, 100))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_lpt_sharding": op10_lpt_sharding,
 }
 

@@ -1,0 +1 @@
+"""Nothing here: every operator of the engine is a batch operator, as in the reference's scope."""

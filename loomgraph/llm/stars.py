@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import Scratch, blocks_for
 
 
 def _least(edges: DataFrame, at: str, other: str) -> DataFrame:
@@ -26,6 +26,11 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("node").alias("hi"), F.col("m").alias("lo"))).distinct()
 
 
+def _sized(edges: DataFrame, rows: int) -> DataFrame:
+    """As many partitions as the edges need: rounds are many and mostly small."""
+    return edges.coalesce(blocks_for(rows, 200_000))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 31)))).first())
 
@@ -37,11 +42,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars", max_roun
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     now, mark = scratch.save(now, f"{name}-0"), None
+    rows = now.count()
+    if rows == 0:
+        return now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     for k in range(1, max_rounds + 1):
-        after = scratch.save(small_star(large_star(now)), f"{name}-{k}")
+        after = scratch.save(_sized(small_star(large_star(_sized(now, rows))), rows), f"{name}-{k}")
         seen = _mark(after)
         scratch.drop(f"{name}-{k - 1}")
-        now = after
+        now, rows = after, seen[0]
         if seen == mark:
             break
         mark = seen

@@ -148,7 +148,7 @@ def frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[str, int
 
 
 def _directory(path: Column) -> Column:
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def inherit(found: DataFrame) -> DataFrame:

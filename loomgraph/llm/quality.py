@@ -107,7 +107,7 @@ def squared_distance(x: list[Column], mean: Column, precision: Column) -> Column
     return sum(precision[i * P + j] * d[i] * d[j] * (1 if i == j else 2) for i, j in _UPPER)
 
 
-def _concentrate(key, bins: pd.DataFrame) -> pd.DataFrame:
+def _concentrate(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
     """The next model of a group and start from its bins (at most 1,025 of them)."""
     bins = bins.sort_values("bin")
     rows = int(bins["n"].sum())

@@ -8,14 +8,13 @@ any executor, and reading it back cuts the lineage.
 from __future__ import annotations
 
 import getpass
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-#: Rows of a table from which it gets another partition.
-ROWS_PER_FILE = 1_000_000
+#: Rows of a loop's table to a partition; rounds on small graphs then take one task instead of many empty ones.
+ROWS_PER_FILE = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,9 +33,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         base = folder if folder is not None else shared_folder(spark)
-        if "://" not in base:
-            base = "file://" + os.path.abspath(base)
-        self.path = f"{base}/run-{uuid.uuid4().hex}"
+        self.path = f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
         where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._files = where.getFileSystem(spark._jsc.hadoopConfiguration())
         self._files.mkdirs(where)

@@ -22,7 +22,7 @@ def label_propagation(graph: Graph, *, max_iters: int = 10, materialize_every: i
     if graph.edges.isEmpty():
         return state
     # Votes by neighbour: parallel edges are counted once and for all.
-    votes = store.keep(symmetrize(graph.edges.select(SRC, DST)).groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("votes")))
+    votes = store.resident(symmetrize(graph.edges.select(SRC, DST)).groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("votes")), SRC)
     for k in range(1, max_iters + 1):
         heard = votes.join(state.select(F.col(ID).alias(SRC), LABEL), SRC).groupBy(F.col(DST).alias(ID), LABEL).agg(F.sum("votes").alias("votes"))
         chosen = heard.groupBy(ID).agg(F.max_by(LABEL, F.struct("votes", -F.col(LABEL))).alias("heard"))
@@ -33,8 +33,10 @@ def label_propagation(graph: Graph, *, max_iters: int = 10, materialize_every: i
         after, seen = store.measured(after, new=F.count_if(F.col("new")))
         state = after.select(ID, LABEL)
         if not seen["new"]:
-            return state
-    not_converged(max_iters)
+            break
+    else:
+        not_converged(max_iters)
+    store.release()
     return state
 
 
@@ -77,7 +79,7 @@ def power_iteration_clustering(graph: Graph, k: int, *, max_iters: int = 100, to
     store = Store(spark)
     both = symmetrize(canonicalize(graph.edges))
     degrees = both.groupBy(SRC).agg(F.count(F.lit(1)).alias("degree"))
-    links = store.keep(both)
+    links = store.resident(both, DST)
     state, seen = store.measured(degrees.select(F.col(SRC).alias(ID), "degree", F.col("degree").cast("double").alias("x"), F.lit(0.0).alias("moved"), F.lit(0.0).alias("bend")), total=F.sum("x"), rows=F.count(F.lit(1)))
     if not seen["rows"]:
         return spark.createDataFrame([], f"{ID} bigint, {CLUSTER} bigint")
@@ -93,6 +95,7 @@ def power_iteration_clustering(graph: Graph, k: int, *, max_iters: int = 100, to
         state, seen = store.measured(after.select(ID, "degree", "x", moved.alias("moved"), F.abs(moved - F.col("moved")).alias("bend")), bend=F.sum("bend"))
         if step and seen["bend"] < tol:
             break
+    store.release()
     values = store.keep(state.select(ID, F.round(F.col("x") / F.lit(float(scale)), 12).alias("value")))
     distinct = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     if distinct.count() > bins:

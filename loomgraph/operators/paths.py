@@ -135,18 +135,18 @@ def shortest_paths(graph: Graph, landmarks: Sequence[int], *, max_iters: int = 1
     ids = graph.vertices.select(F.col(ID)).distinct()
     start = ids.join(wanted.select(F.col(LANDMARK).alias(ID)).distinct(), ID, "left_semi").select(ID, F.col(ID).alias(LANDMARK), F.lit(0).cast("bigint").alias(DISTANCE))
     back = walkable(graph).join(ids.select(F.col(ID).alias(SRC)), SRC, "left_semi").join(ids.select(F.col(ID).alias(DST)), DST, "left_semi")
-    back, seen = store.measured(back.select(SRC, DST), rows=F.count(F.lit(1)))
-    frontier, found = start, start
+    back = store.resident(back.select(SRC, DST), DST)
+    frontier, found, seen = start, start, {"rows": 1}
     for k in range(1, max_iters + 1):
-        if not seen["rows"]:
-            break
         near = back.join(frontier.select(F.col(ID).alias(DST), LANDMARK), DST).select(F.col(SRC).alias(ID), LANDMARK).distinct()
         fresh = near.join(found, [ID, LANDMARK], "left_anti").select(ID, LANDMARK, F.lit(k).cast("bigint").alias(DISTANCE))
         frontier, seen = store.measured(fresh, rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            break
         found = found.union(frontier)
     else:
-        if seen["rows"]:
-            not_converged(max_iters)
+        not_converged(max_iters)
+    store.release()
     return found.join(F.broadcast(wanted), LANDMARK).select(ID, LANDMARK, DISTANCE)
 
 

@@ -31,7 +31,7 @@ def _power(graph: DirectedGraph, walks: dict[int, list[int] | None], damping: fl
     out = distinct.groupBy(SRC).agg(F.count(F.lit(1)).alias("out"))
     # Edges to vertices outside the table count for the out-degree, and what they carry is lost.
     links = distinct.join(ids.select(F.col(ID).alias(DST)), DST, "left_semi").join(ids.select(F.col(ID).alias(SRC)), SRC, "left_semi").join(out, SRC)
-    links = store.keep(links.select(SRC, DST, "out"))
+    links = store.resident(links.select(SRC, DST, "out"), SRC)
     seeds = spark.createDataFrame([(w, int(i), 1.0 / len(set(s))) for w, s in walks.items() if s is not None for i in set(s)], f"walk int, {ID} bigint, restart double")
     anywhere = [w for w, s in walks.items() if s is None]
     every = ids.join(F.broadcast(spark.createDataFrame([(w,) for w in walks], "walk int")))
@@ -64,6 +64,7 @@ def _power(graph: DirectedGraph, walks: dict[int, list[int] | None], damping: fl
     else:
         not_converged(max_iters)
         done.append(state.where(F.col("walk").isin(live)).select("walk", ID, RANK))
+    store.release()
     result = done[0]
     for more in done[1:]:
         result = result.union(more)

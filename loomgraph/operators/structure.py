@@ -19,7 +19,7 @@ def k_core(graph: Graph, *, max_iters: int = 100, materialize_every: int = 1, ch
     """
     store = Store(graph.vertices.sparkSession, checkpoint_dir)
     ids = graph.vertices.select(F.col(ID)).distinct()
-    links = store.keep(symmetrize(canonicalize(graph.edges)))
+    links = store.resident(symmetrize(canonicalize(graph.edges)), SRC)
     state = links.groupBy(F.col(SRC).alias(ID)).agg(F.count(F.lit(1)).alias(CORE))
     down = Window.partitionBy(ID).orderBy(F.desc("estimate"))
     for k in range(1, max_iters + 1):
@@ -35,6 +35,7 @@ def k_core(graph: Graph, *, max_iters: int = 100, materialize_every: int = 1, ch
             break
     else:
         not_converged(max_iters)
+    store.release()
     return ids.join(state, ID, "left").select(ID, F.coalesce(CORE, F.lit(0).cast("bigint")).alias(CORE))
 
 
@@ -121,7 +122,7 @@ def hyper_anf(graph: Graph, *, max_hops: int = 10, precision: int = 10) -> DataF
     if not 4 <= precision <= 18:
         raise ValueError(f"precision must be in [4, 18], got {precision}")
     store = Store(graph.vertices.sparkSession)
-    steps = store.keep(graph.orient(graph.edges.select(SRC, DST)).distinct())
+    steps = store.resident(graph.orient(graph.edges.select(SRC, DST)).distinct(), DST)
     register, rho = _register(F.col(ID), precision)
     now, seen = store.measured(graph.vertices.select(F.col(ID)).distinct().select(ID, register.alias("register"), rho.alias("rho")), mark=F.sum(F.hash(ID, "register", "rho").cast("bigint")))
     parts = []
@@ -140,6 +141,7 @@ def hyper_anf(graph: Graph, *, max_hops: int = 10, precision: int = 10) -> DataF
         if seen == before:
             parts += [shot(later) for later in range(hop + 1, max_hops + 1)]
             break
+    store.release()
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)

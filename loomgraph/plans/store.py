@@ -11,6 +11,7 @@ import getpass
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Rows of a loop's table to a partition; rounds on small graphs then take one task instead of many empty ones.
@@ -40,6 +41,7 @@ class Store:
         if folder is None:
             self._files.deleteOnExit(where)
         self._written = 0
+        self._resident: list[DataFrame] = []
 
     def keep(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """Writes df and returns it as read back. `partitions` bounds the files of a table known to be small."""
@@ -54,8 +56,22 @@ class Store:
         kept = self.keep(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), partitions)
         return kept, seen.get
 
+    def resident(self, df: DataFrame, key: str) -> DataFrame:
+        """keep(), then dealt by a key that every round joins on: a round shuffles its state, not these rows.
+
+        Lost blocks are read again from the table. release() frees them.
+        """
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self.keep(df).repartition(parts, key).persist(StorageLevel.MEMORY_AND_DISK)
+        self._resident.append(dealt)
+        return dealt
+
+    def release(self) -> None:
+        while self._resident:
+            self._resident.pop().unpersist()
+
     def forget(self, keep_last: int = 2) -> None:
-        """Deletes all but the last few tables."""
+        """Deletes all tables but the last few; not for stores with resident frames."""
         for k in range(1, self._written - keep_last + 1):
             self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/t{k}"), True)
 

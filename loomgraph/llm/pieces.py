@@ -6,14 +6,15 @@ at its end from the best score at its start (the sum of the pieces' scores is ma
 ties). Characters that no piece covers cost the least score minus 10 and are written as byte pieces, or as the unknown
 piece if the vocabulary has none. A U+2581 of the text itself is such a character, so that decoding gives the text back.
 
-If no piece goes on after a word's end, the best path splits at spaces, and words' paths are remembered (WORDS of them
-in a worker). Vocabularies with other pieces take each text in one go.
+If no piece has a space after another character, the best path splits where spaces begin, and the paths of words with
+the spaces before them are remembered (WORDS of them in a worker). Other vocabularies take each text in one go.
 
 A null text has null ids, no tokens, and comes back as null. An empty text has no tokens.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections import deque
@@ -29,10 +30,12 @@ from loomgraph.llm.common import prepare
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
-WORDS, LONG = 200_000, 48
+WORDS, LONG = 600_000, 48
 #: Fixed values of the file format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
+_RUNS = re.compile(" +[^ ]*")
+
 Vocabulary = list[tuple[str, float, int]]
 
 
@@ -81,14 +84,13 @@ class Codec:
         self.unknown = next((i for i, v in enumerate(vocabulary) if v[2] == UNKNOWN), 0)
         usable = {p: (i, s) for i, (p, s, kind) in reversed(list(enumerate(vocabulary))) if kind in (NORMAL, USER_DEFINED) and p}
         self.penalty = min([s for _, s in usable.values()], default=0.0) - PENALTY
-        single = usable.get(SPACE, (0, float("-inf")))[1]
-        self.by_word = all(SPACE not in p[1:] or p.strip(SPACE) == "" and s < single * len(p) for p, (_, s) in usable.items())
+        self.by_word = all(SPACE not in piece.lstrip(SPACE) for piece in usable)
         self._build(usable)
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary]
 
     def _build(self, usable: dict[str, tuple[int, float]]) -> None:
-        """Goto edges with failure links, and for each state its outputs: the pieces that end there, longest first, by output links."""
+        """Goto edges with failure links, and for each state its outputs: the pieces that end there, longest first, along the output links."""
         self.goto: list[dict[str, int]] = [{}]
         own: dict[int, tuple[int, int, float]] = {}
         for piece, (i, score) in usable.items():
@@ -96,24 +98,30 @@ class Codec:
             for c in piece:
                 at = self.goto[at].get(c) or self._node(at, c)
             own[at] = (len(piece), i, score)
-        self.fail, self.link = [0] * len(self.goto), [0] * len(self.goto)
-        self.out: list[tuple[int, int, float] | None] = [own.get(i) for i in range(len(self.goto))]
+        self.fail = [0] * len(self.goto)
+        self.out: list[tuple[tuple[int, int, float], ...]] = [()] * len(self.goto)
         queue = deque(self.goto[0].values())
         while queue:
             at = queue.popleft()
+            self.out[at] = ((own[at],) if at in own else ()) + self.out[self.fail[at]]
             for c, to in self.goto[at].items():
-                f = self.fail[at]
-                while f and c not in self.goto[f]:
-                    f = self.fail[f]
-                f = self.goto[f].get(c, 0)
-                self.fail[to] = f
+                self.fail[to] = self._along(self.fail[at], c) if at else 0
                 queue.append(to)
-        queue = deque([0])
-        while queue:
-            at = queue.popleft()
-            f = self.fail[at]
-            self.link[at] = f if self.out[f] else self.link[f]
-            queue.extend(self.goto[at].values())
+        # Whether a piece of one character ends at a state.
+        self.single = [bool(o) and o[-1][0] == 1 for o in self.out]
+        self.steps: list[dict[str, int]] = [dict(g) for g in self.goto]
+
+    def _along(self, state: int, c: str) -> int:
+        while state and c not in self.goto[state]:
+            state = self.fail[state]
+        return self.goto[state].get(c, 0)
+
+    def _step(self, state: int, c: str) -> int:
+        """The state after c; steps along failure links are remembered for the common scripts, whose letters are few."""
+        to = self._along(state, c)
+        if c < "\u0250" or c == SPACE:
+            self.steps[state][c] = to
+        return to
 
     def _node(self, at: int, c: str) -> int:
         self.goto[at][c] = len(self.goto)
@@ -122,26 +130,24 @@ class Codec:
 
     def best_path(self, text: str, literal: set[int] = frozenset()) -> list[int]:
         """Ids of the best path. Places in `literal` hold a U+2581 of the text itself."""
-        best, back = [0.0] + [float("-inf")] * len(text), [(0, -1)] * (len(text) + 1)
-        goto, fail, link, out = self.goto, self.fail, self.link, self.out
+        best, back = [0.0], [(0, -1)]
+        steps, out, single = self.steps, self.out, self.single
         state = 0
-        for i, c in enumerate(text):
-            single = False
-            if literal and i in literal:
+        for i, c in enumerate(text, 1):
+            if literal and i - 1 in literal:
                 state = 0
             else:
-                while state and c not in goto[state]:
-                    state = fail[state]
-                state = goto[state].get(c, 0)
-                at = state if out[state] else link[state]
-                while at:
-                    n, piece, score = out[at]
-                    if (score := best[i + 1 - n] + score) > best[i + 1]:
-                        best[i + 1], back[i + 1] = score, (n, piece)
-                    single |= n == 1
-                    at = link[at]
-            if not single and (score := best[i] + self.penalty) > best[i + 1]:
-                best[i + 1], back[i + 1] = score, (1, -1)
+                to = steps[state].get(c)
+                state = self._step(state, c) if to is None else to
+            top, via = float("-inf"), (1, -1)
+            for n, piece, score in out[state]:
+                score += best[i - n]
+                if score > top:
+                    top, via = score, (n, piece)
+            if not single[state] and (score := best[-1] + self.penalty) > top:
+                top, via = score, (1, -1)
+            best.append(top)
+            back.append(via)
         ids, at = [], len(text)
         while at:
             n, piece = back[at]
@@ -154,28 +160,29 @@ class Codec:
             at -= n
         return ids[::-1]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.best_path(SPACE + word, {i + 1 for i, c in enumerate(word) if c == SPACE} if SPACE in word else frozenset()))
+    def _word(self, word: str) -> bytes:
+        """The packed ids of a word after a space; further spaces of its run may begin it."""
+        ids = self.best_path(SPACE + word.replace(" ", SPACE), {i + 1 for i, c in enumerate(word) if c == SPACE} if SPACE in word else frozenset())
+        packed = np.array(ids, np.int32).tobytes()
         if len(word) <= LONG:
             if len(self.memory) >= WORDS:
                 self.memory.clear()
-            self.memory[word] = ids
-        return ids
+            self.memory[word] = packed
+        return packed
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         if not self.by_word:
-            return self.best_path(SPACE + text.replace(" ", SPACE), {i + 1 for i, c in enumerate(text) if c == SPACE})
-        ids: list[int] = []
-        memory = self.memory
-        for word in text.split(" "):
-            known = memory.get(word)
-            ids += self._word(word) if known is None else known
-        return ids
+            return np.array(self.best_path(SPACE + text.replace(" ", SPACE), {i + 1 for i, c in enumerate(text) if c == SPACE}), np.int32)
+        words = [w[1:] for w in _RUNS.findall(" " + text)] if "  " in text or text[0] == " " else text.split(" ")
+        packed = list(map(self.memory.get, words))
+        if None in packed:
+            packed = [self._word(w) if x is None else x for w, x in zip(words, packed)]
+        return np.frombuffer(b"".join(packed), np.int32)
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -200,7 +207,7 @@ def encoder(spark: SparkSession, model_file: str = MODEL_FILE):
         for texts in batches:
             ids = [codec.encode(t) if isinstance(t, str) else None for t in texts]
             again = [i is None or codec.decode(i) == t for i, t in zip(ids, texts)]
-            yield pd.DataFrame({"token_ids": pd.Series([None if i is None else np.array(i, np.int32) for i in ids], dtype=object), "n_tokens": [len(i or ()) for i in ids], "round_trip": again})
+            yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "n_tokens": [0 if i is None else len(i) for i in ids], "round_trip": again})
 
     return encode
 

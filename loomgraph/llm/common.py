@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import getpass
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,7 +33,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker's memory does not follow the longest texts times 10,000."""
+    """Small Arrow batches, so that a worker's memory does not follow the longest texts times 10,000; and the place
+    of this package on the workers' path, for sessions that were started somewhere else."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in path:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, path)])
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

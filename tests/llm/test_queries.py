@@ -1,0 +1,25 @@
+"""Queries of the operators against their SQL in DuckDB, over the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from loomgraph.llm.queries import ORACLE_SQL, QUERIES
+from tests.test_queries import DATA, plain
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    df, want = QUERIES[name](spark, DATA), con.sql(ORACLE_SQL[name])
+    names = sorted(df.columns)
+    assert names == sorted(want.columns)
+    assert plain(map(tuple, df.collect()), df.columns, names) == plain(want.fetchall(), want.columns, names)
+
+
+def test_documented_columns():
+    assert len({q.split("_")[0] for q in QUERIES}) == 10 and set(ORACLE_SQL) <= set(QUERIES)

@@ -30,7 +30,7 @@ from loomgraph.llm.common import prepare
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
-WORDS, LONG = 600_000, 48
+WORDS, LONG = 400_000, 48
 #: Fixed values of the file format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 

@@ -4,7 +4,7 @@ A file is read in segments: its lines, and windows of SEGMENT words over the who
 several lines. Segments and TEMPLATES are sparse vectors of words weighted by counts and inverse document frequencies.
 The frequencies of the templates' words are counted over all files; any other word weighs as one that no file holds,
 which only makes the other words' share larger and so can't raise a cosine. The best segment's template is the file's
-own licence if its cosine is at least LEAST.
+own licence if its cosine is at least LEAST; that rights are reserved counts only without a licence.
 
 Segments are scored only if the file's words could reach LEAST with some template: the cosine of any segment is at most
 the norm of the template's weights on the words that the whole file holds, over the norm of all its weights.
@@ -33,6 +33,9 @@ LEAST, SEGMENT, WHOLE = 0.6, 64, 0.5
 #: Names of licence files, without regard to case.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|copyright)([.-].*)?$"
 
+#: Rights are reserved in notices of licences too, so this one is a file's own only if no other reaches LEAST.
+RESERVED = "Proprietary"
+
 #: Short notices of common licences, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -42,8 +45,15 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or any later version."),
+    ("LGPL-2.1", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
@@ -58,8 +68,10 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
+    (RESERVED, "All rights reserved."),
+    (RESERVED, "All rights reserved. No part of this work may be reproduced without permission."),
 )
+GRANTS = np.array([name != RESERVED for name, _ in TEMPLATES])
 _PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
 
@@ -109,14 +121,15 @@ class Scanner:
             return None, 0.0, 0.0
         segments = [w for w in map(words, text.split("\n")) if w and not self.known.isdisjoint(w)]
         segments += [every[i : i + SEGMENT] for i in range(0, max(1, len(every) - SEGMENT // 2), SEGMENT // 2)]
-        best, name, size = 0.0, None, 0
+        best, name, size, granted = 0.0, None, 0, False
         for segment in segments:
             if not self.reachable(sorted(self.known.intersection(segment))):
                 continue
             c = self.cosines(segment)
-            k = int(c.argmax())
-            if (c[k], TEMPLATES[k][0], len(segment)) > (best, name or "", size):
-                best, name, size = float(c[k]), TEMPLATES[k][0], len(segment)
+            for k in (int(np.where(GRANTS, c, -1.0).argmax()), int(np.where(GRANTS, -1.0, c).argmax())):
+                grants = bool(GRANTS[k]) and c[k] >= self.least
+                if (grants, c[k], TEMPLATES[k][0], len(segment)) > (granted, best, name or "", size):
+                    granted, best, name, size = grants, float(c[k]), TEMPLATES[k][0], len(segment)
         if best < self.least:
             return None, 0.0, 0.0
         return name, min(best, 1.0), min(1.0, size / len(every))

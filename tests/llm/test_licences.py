@@ -39,6 +39,22 @@ def test_a_notice_over_several_lines():
     assert scanner.scan(text)[0] == "Apache-2.0"
 
 
+def test_short_forms_and_headers(spark):
+    """Lines of the given documents, and headers as programmes have them, which differ from the templates."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    held = Counter(w for t in texts for w in set(li.words(t or "")))
+    scanner = li.Scanner(held, len(texts))
+    reserved = [t for t in texts if "All rights reserved." in (t or "").split("\n")]
+    assert len(reserved) == 7 and {scanner.scan(t)[0] for t in reserved} == {"Proprietary"}
+    header = "# This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for what, licence, version, name in (
+        ("program", "General Public License", "2", "GPL-2.0"), ("program", "General Public License", "3", "GPL-3.0"), ("library", "Lesser General Public License", "2.1", "LGPL-2.1"),
+        ("program", "Lesser General Public License", "3", "LGPL-3.0"), ("program", "Affero General Public License", "3", "AGPL-3.0"),
+    ):
+        assert scanner.scan(header.format(what, licence, version))[0] == name
+    assert scanner.scan("All rights reserved.\n" + li.TEMPLATES[2][1])[0] == "MIT"
+
+
 def test_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [

@@ -1,13 +1,16 @@
 """Licence scans: sparse TF-IDF cosines of headers and licence files to templates, then inheritance by directories.
 
-A file is read in segments: its lines, and windows of SEGMENT words over the whole text for notices that run over
-several lines. Segments and TEMPLATES are sparse vectors of words weighted by counts and inverse document frequencies.
-The frequencies of the templates' words are counted over all files; any other word weighs as one that no file holds,
-which only makes the other words' share larger and so can't raise a cosine. The best segment's template is the file's
-own licence if its cosine is at least LEAST; that rights are reserved counts only without a licence.
-
-Segments are scored only if the file's words could reach LEAST with some template: the cosine of any segment is at most
-the norm of the template's weights on the words that the whole file holds, over the norm of all its weights.
+A file is read in segments: its lines, windows of SEGMENT words over the whole text for notices that run over several
+lines, and, for each template, all windows of the template's own number of words, so that a notice is found wherever it
+stands. Segments and TEMPLATES are sparse vectors of words weighted by counts and inverse document frequencies, which
+are counted over all files and for all words. The best segment's template is the file's own licence if its cosine is at
+least LEAST; that rights are reserved counts only without a licence.
+
+The driver and the workers know the frequencies of the templates' words only, which give a segment's products with the
+templates and its own words' part of its norm. Every other word weighs 1 at least, and as one that no file holds at
+most, so a segment's cosine has bounds, and only segments that could be a file's best one leave the worker; the weights
+of their other words are joined. A file is read for segments only if its words could reach LEAST with some template: a
+segment's cosine is at most the norm of the template's weights on the file's words, over the norm of all its weights.
 
 A licence file (by name, or because its notice makes up WHOLE of its words) speaks for its directory and all below it.
 Distinct directories are joined with their ancestors' licences, the nearest ancestor wins, and files without a licence
@@ -21,15 +24,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from loomgraph.llm.common import Scratch, prepare
 
 LEAST, SEGMENT, WHOLE = 0.6, 64, 0.5
+#: Cosines are compared at DIGITS digits; words that a worker counts before it passes them on.
+DIGITS, CLOSE, COUNTED = 9, 1e-8, 200_000
 #: Names of licence files, without regard to case.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|copyright)([.-].*)?$"
 
@@ -82,82 +89,175 @@ def words(text: str) -> list[str]:
 VOCABULARY = tuple(sorted({w for _, t in TEMPLATES for w in words(t)}))
 
 
+class Notice(NamedTuple):
+    """A segment with its template: its product with the template's unit vector, the square of its template words' norm
+    (of any template), its number of words, and its other words with their counts."""
+
+    template: int
+    product: float
+    square: float
+    size: int
+    others: tuple[tuple[str, int], ...]
+
+
 class Scanner:
-    """Templates weighted by how many of `files` files hold each word of VOCABULARY."""
+    """Templates weighted by how many of `files` files hold each word; words that `held` lacks are in no file.
+
+    Notices need the words of VOCABULARY only.
+    """
 
     def __init__(self, held: dict[str, int], files: int, least: float = LEAST):
-        self.least = least
-        self.idf = {w: math.log((1 + files) / (1 + held.get(w, 0))) + 1 for w in VOCABULARY}
+        self.least, self.held, self.files = least, held, files
+        self.idf = {w: self.weight(w) for w in VOCABULARY}
         self.other = math.log(1 + files) + 1
         self.place = {w: i for i, w in enumerate(VOCABULARY)}
         self.known = frozenset(VOCABULARY)
         self.weights = np.zeros((len(TEMPLATES), len(VOCABULARY)))
+        self.sizes = [len(words(t)) for _, t in TEMPLATES]
         for k, (_, t) in enumerate(TEMPLATES):
             for w, n in Counter(words(t)).items():
                 self.weights[k, self.place[w]] = n * self.idf[w]
         self.weights /= np.linalg.norm(self.weights, axis=1, keepdims=True)
+        # By place, with an entry more for all other words: products with the templates, and squares.
+        idf = np.array([self.idf[w] for w in VOCABULARY])
+        self.products = np.hstack([self.weights * idf, np.zeros((len(TEMPLATES), 1))])
+        self.squares = np.append(idf * idf, 1.0)
 
-    def cosines(self, segment: Sequence[str]) -> np.ndarray:
-        """Of a segment with each template."""
-        v, square = np.zeros(len(VOCABULARY)), 0.0
+    def weight(self, word: str) -> float:
+        return math.log((1 + self.files) / (1 + self.held.get(word, 0))) + 1
+
+    def _vector(self, segment: Sequence[str]) -> tuple[np.ndarray, float, tuple[tuple[str, int], ...]]:
+        v, square, others = np.zeros(len(VOCABULARY)), 0.0, []
         for w, n in Counter(segment).items():
-            weight = n * self.idf.get(w, self.other)
-            square += weight * weight
             if w in self.place:
-                v[self.place[w]] = weight
+                v[self.place[w]] = n * self.idf[w]
+                square += v[self.place[w]] ** 2
+            else:
+                others.append((w, n))
+        return v, square, tuple(sorted(others))
+
+    def cosines(self, segment: Sequence[str]) -> np.ndarray:
+        """Of a segment with each template."""
+        v, square, others = self._vector(segment)
+        square += sum((n * self.weight(w)) ** 2 for w, n in others)
         return self.weights @ v / math.sqrt(square) if square else np.zeros(len(TEMPLATES))
 
+    def bounds(self, present: Sequence[str]) -> np.ndarray:
+        """What a segment of these words can reach with each template."""
+        return np.sqrt(np.square(self.weights[:, [self.place[w] for w in present]]).sum(1))
+
     def reachable(self, present: Sequence[str]) -> bool:
-        bound = np.sqrt(np.square(self.weights[:, [self.place[w] for w in present]]).sum(1))
-        return bool((bound >= self.least).any())
+        return bool((self.bounds(present) >= self.least).any())
 
-    def scan(self, text: str | None) -> tuple[str | None, float, float]:
-        """(licence, cosine, the notice's share of the text's words); (None, 0, 0) below the least cosine."""
+    def notices(self, text: str | None) -> tuple[list[Notice], int]:
+        """Those segments that could be the text's best, whatever its other words weigh, and its number of words."""
         if not text:
-            return None, 0.0, 0.0
+            return [], 0
         every = words(text)
         present = self.known.intersection(every)
-        if not present or not self.reachable(sorted(present)):
-            return None, 0.0, 0.0
+        bounds = self.bounds(sorted(present))
+        if not present or not (bounds >= self.least).any():
+            return [], len(every)
+        kept: dict[Notice, float] = {}  # with the most that the cosine can be
+        sure = {True: self.least, False: self.least}  # the least that the best cosine is, with and without a licence
+
+        def add(segment: Sequence[str], templates: Sequence[int] | None = None) -> None:
+            v, square, others = self._vector(segment)
+            products = self.weights @ v
+            if templates is None:
+                templates = (int(np.where(GRANTS, products, -1.0).argmax()), int(np.where(GRANTS, -1.0, products).argmax()))
+            light = math.sqrt(square + sum(n * n for _, n in others)) or 1.0
+            heavy = math.sqrt(square + sum((n * self.other) ** 2 for _, n in others)) or 1.0
+            for k in templates:
+                if products[k] / light >= sure[bool(GRANTS[k])] - CLOSE:
+                    kept[Notice(k, float(products[k]), square, len(segment), others)] = products[k] / light
+                    sure[bool(GRANTS[k])] = max(sure[bool(GRANTS[k])], products[k] / heavy)
+
         segments = [w for w in map(words, text.split("\n")) if w and not self.known.isdisjoint(w)]
         segments += [every[i : i + SEGMENT] for i in range(0, max(1, len(every) - SEGMENT // 2), SEGMENT // 2)]
-        best, name, size, granted = 0.0, None, 0, False
         for segment in segments:
-            if not self.reachable(sorted(self.known.intersection(segment))):
+            if self.reachable(sorted(self.known.intersection(segment))):
+                add(segment)
+        at = np.array([self.place.get(w, len(VOCABULARY)) for w in every])
+        # Counts are no larger than their squares, so these norms are none too large.
+        norms = np.append(0.0, np.cumsum(self.squares[at]))
+        for k in np.flatnonzero(bounds >= self.least):
+            size, grants = self.sizes[k], bool(GRANTS[k])
+            if size > len(every):
                 continue
-            c = self.cosines(segment)
-            for k in (int(np.where(GRANTS, c, -1.0).argmax()), int(np.where(GRANTS, -1.0, c).argmax())):
-                grants = bool(GRANTS[k]) and c[k] >= self.least
-                if (grants, c[k], TEMPLATES[k][0], len(segment)) > (granted, best, name or "", size):
-                    granted, best, name, size = grants, float(c[k]), TEMPLATES[k][0], len(segment)
-        if best < self.least:
+            along = np.append(0.0, np.cumsum(self.products[k, at]))
+            most = (along[size:] - along[:-size]) / np.sqrt(norms[size:] - norms[:-size])
+            maybe = np.flatnonzero(most >= sure[grants] - CLOSE)
+            for i in maybe[np.argsort(-most[maybe], kind="stable")]:
+                if most[i] < sure[grants] - CLOSE:
+                    break
+                add(every[i : i + size], (int(k),))
+        found = [x for x, most in kept.items() if most >= sure[bool(GRANTS[x.template])] - CLOSE]
+        if any(GRANTS[x.template] and not x.others and x.product / math.sqrt(x.square) >= self.least for x in found):
+            found = [x for x in found if GRANTS[x.template]]
+        return found, len(every)
+
+    def scan(self, text: str | None) -> tuple[str | None, float, float]:
+        """(licence, cosine, the notice's share of the text's words); (None, 0, 0) below the least cosine."""
+        found, size = self.notices(text)
+        scored = []
+        for x in found:
+            c = x.product / math.sqrt(x.square + sum((n * self.weight(w)) ** 2 for w, n in x.others))
+            if c >= self.least:
+                scored.append((bool(GRANTS[x.template]), round(c, DIGITS), TEMPLATES[x.template][0], x.size))
+        if not scored:
             return None, 0.0, 0.0
-        return name, min(best, 1.0), min(1.0, size / len(every))
+        _, best, name, of = max(scored)
+        return name, min(best, 1.0), min(1.0, of / size)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with the number of texts that hold them, summed up as far as COUNTED words fit."""
+    held: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "held"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                held.update(set(words(text)))
+        if len(held) >= COUNTED:
+            yield out()
+            held.clear()
+    yield out()
 
 
-def _present():
-    known = frozenset(VOCABULARY)
+_OTHER = StructType([StructField("word", StringType()), StructField("n", LongType())])
+_NOTICE = StructType([StructField("licence", StringType()), StructField("grants", BooleanType()), StructField("product", DoubleType()), StructField("square", DoubleType()), StructField("size", LongType()), StructField("others", ArrayType(_OTHER))])
+_ARROW = pa.list_(pa.struct([("licence", pa.string()), ("grants", pa.bool_()), ("product", pa.float64()), ("square", pa.float64()), ("size", pa.int64()), ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))]))
 
-    @F.pandas_udf("array<string>")
-    def present(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(known.intersection(words(t))) if isinstance(t, str) else [] for t in texts], dtype=object)
 
-    return present
+def _notices(scanner: Scanner):
+    def notices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scanner.notices(t) for t in batch.column(2).to_pylist()]
+            rows = [[{"licence": TEMPLATES[x.template][0], "grants": bool(GRANTS[x.template]), "product": x.product, "square": x.square, "size": x.size, "others": [{"word": w, "n": n} for w, n in x.others]} for x in xs] for xs, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in found], pa.int64()), pa.array(rows, _ARROW)], ["id", "path", "words", "notices"])
 
+    return notices
 
-def _scan(scanner: Scanner):
-    @F.pandas_udf("licence string, score double, share double")
-    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([scanner.scan(t if isinstance(t, str) else None) for t in batch], columns=["licence", "score", "share"])
 
-    return scan
+def frequencies(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """[word, held]: how many files hold each word."""
+    return files.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counts, "word string, held long").groupBy("word").agg(F.sum("held").alias("held"))
 
 
-def frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
-    """How many files hold each word of VOCABULARY, a fixed few hundred words, and the number of files."""
-    held = files.select(F.explode(_present()(F.col(text_col).cast("string"))).alias("word")).groupBy("word").count().collect()
-    return {r["word"]: r["count"] for r in held}, files.count()
+def best_notices(found: DataFrame, held: DataFrame, files: int) -> DataFrame:
+    """[key, licence, score, size] of the best notice of each key of found (key, notices) that has one of LEAST or more."""
+    spread = found.where(F.size("notices") > 0).select("key", F.posexplode("notices").alias("at", "notice"))
+    weight = F.log(F.lit(1.0 + files) / (1 + F.coalesce("held", F.lit(0)))) + 1
+    others = spread.select("key", "at", F.explode("notice.others").alias("other")).select("key", "at", F.col("other.word").alias("word"), F.col("other.n").alias("n"))
+    rest = others.join(held, "word", "left").groupBy("key", "at").agg(F.sum(F.pow(F.col("n") * weight, F.lit(2.0))).alias("rest"))
+    score = F.col("notice.product") / F.sqrt(F.col("notice.square") + F.coalesce("rest", F.lit(0.0)))
+    scored = spread.join(rest, ["key", "at"], "left").withColumn("score", score).where(F.col("score") >= LEAST)
+    best = scored.groupBy("key").agg(F.max(F.struct("notice.grants", F.round("score", DIGITS).alias("score"), "notice.licence", "notice.size")).alias("b"))
+    return best.select("key", "b.licence", F.least("b.score", F.lit(1.0)).alias("score"), "b.size")
 
 
 def _directory(path: Column) -> Column:
@@ -182,8 +282,14 @@ def scan_licences(files: DataFrame, id_col: str, path: Column, text_col: str = "
     spark = files.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "licences")
-    scan = _scan(Scanner(*frequencies(files, text_col)))
-    found = files.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), scan(F.col(text_col).cast("string")).alias("s")).select("id", "path", "s.*")
+    held = scratch.save(frequencies(files, text_col), "held")
+    n = files.count()
+    scanner = Scanner({r["word"]: r["held"] for r in held.where(F.col("word").isin(*VOCABULARY)).collect()}, n)
+    texts = files.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([texts.schema["id"], texts.schema["path"], StructField("words", LongType()), StructField("notices", ArrayType(_NOTICE))])
+    read = scratch.save(texts.mapInArrow(_notices(scanner), schema).withColumn("key", F.monotonically_increasing_id()), "notices")
+    found = read.select("key", "id", "path", "words").join(best_notices(read, held, n), "key", "left")
+    found = found.select("id", "path", "licence", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.least(F.lit(1.0), F.col("size") / F.col("words")), F.lit(0.0)).alias("share"))
     by_name = F.regexp_extract("path", "([^/]*)$", 1).rlike(FILE_NAMES)
     found = scratch.save(found.withColumn("speaks", F.coalesce(by_name | (F.col("share") >= whole), F.lit(False))), "found")
     out = inherit(found)

@@ -55,6 +55,50 @@ def test_short_forms_and_headers(spark):
     assert scanner.scan("All rights reserved.\n" + li.TEMPLATES[2][1])[0] == "MIT"
 
 
+NOTICES = (
+    ("Apache-2.0", "Code samples by Ana Ruiz, licensed under the Apache License, Version 2.0."),
+    ("MIT", "Copyright (c) 2021 Jane Doe. Released under the MIT License."),
+    ("MIT", "// This file is released under the MIT License, see the LICENSE file."),
+    ("Proprietary", "Copyright 2020 Example Inc. All rights reserved."),
+    ("MIT", "Copyright 2020 Example Inc. All rights reserved. Released under the MIT License."),
+)
+
+
+def test_a_notice_inside_a_paragraph():
+    for files in (1_000, 10_000, 10_000_000):
+        scanner = li.Scanner({"the": files // 2, "of": files // 2, "by": files // 3, "this": files // 3, "all": files // 4}, files)
+        for name, notice in NOTICES:
+            for text in (notice, "the house and the water of the land " * 40 + notice + " the sea and a hill by this lake" * 40):
+                licence, score, _ = scanner.scan(text)
+                assert (licence, round(score, 9)) == (name, 1.0)
+
+
+def test_all_words_weigh_by_their_files(spark):
+    """The distributed scan is that of a scanner that knows all words; notices are altered, so that other words count."""
+    altered = [
+        "released under the rather mit license", "code licensed under that apache license version 2 0 rare1", "nothing rare2 here", None, "", "all known rights reserved", "licensed under some cc by nc 4 0 terms",
+        "all rights rare3 reserved and released with the mit license", "reserved rare4 rights",
+    ]
+    texts = altered + ["rather that some known terms and water"] * 60 + ["the water and the land"] * 30
+    held = Counter(w for t in texts for w in set(li.words(t or "")))
+    assert {r.word: r.held for r in li.frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)).collect()} == held
+    scanner, blind = li.Scanner(held, len(texts)), li.Scanner({w: n for w, n in held.items() if w in li.VOCABULARY}, len(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: r for r in li.scan_licences(df, "i", F.lit(None)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        licence, score, _ = scanner.scan(t)
+        assert got[i].licence == licence and abs(got[i].score - score) < 1e-8
+    assert sum(scanner.scan(t) != blind.scan(t) for t in altered) >= 3
+    # The segments that leave a worker hold the best of all segments.
+    for t in filter(None, altered):
+        w = li.words(t)
+        every = [(k, w[i : i + n]) for k, n in enumerate(scanner.sizes) for i in range(len(w) - n + 1)] + [(k, w) for k in range(len(li.TEMPLATES))]
+        best = {g: max((scanner.cosines(s)[k] for k, s in every if li.GRANTS[k] == g), default=0.0) for g in (True, False)}
+        want = best[True] if best[True] >= li.LEAST else best[False]
+        assert abs(scanner.scan(t)[1] - (want if want >= li.LEAST else 0.0)) < 1e-8
+
+
 def test_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [

@@ -1,10 +1,13 @@
 import math
+import random
 import warnings
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import loomgraph as lg
+from loomgraph.operators import community
 from tests.helpers import adjacency, cores, directed, edges, hops, pagerank, pairs_of, random_digraph, triangles, undirected
 
 TRIANGLES = [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4)]
@@ -57,6 +60,46 @@ def test_power_iteration_clustering(spark):
     assert lg.power_iteration_clustering(undirected(spark, [], [1]), 2).count() == 0
 
 
+def plain_kmeans(values, k, rounds=50):
+    """Clusters of the distinct values, by the rule of the reference."""
+    points = sorted(set(values))
+    centres = [points[round(i * (len(points) - 1) / (k - 1))] for i in range(k)]
+    assigned = None
+    for _ in range(rounds):
+        after = [min(range(k), key=lambda c: abs(v - centres[c])) for v in values]
+        if after == assigned:
+            break
+        assigned = after
+        for c in range(k):
+            own = [v for v, a in zip(values, assigned) if a == c]
+            centres[c] = sum(own) / len(own) if own else centres[c]
+    return assigned
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_clusters_of_many_values(spark, k):
+    """Two groups and some hubs far away: steps of the range would put both groups into one."""
+    r = random.Random(4)
+    values = [r.gauss(1.0, 0.05) * 1e-7 for _ in range(900)] + [r.gauss(2.0, 0.1) * 1e-7 for _ in range(900)] + [r.uniform(1, 90) * 1e-5 for _ in range(40)] + [3e-7] * 20
+    counts = Counter(values)
+    want = plain_kmeans(values, k) if k > 1 else [0] * len(values)
+    community.files_for, old = lambda rows: 7, community.files_for
+    try:
+        borders = community.distributed_cluster_numbers(spark.createDataFrame(list(counts.items()), "value double, n long"), len(counts), k, 50, community.Store(spark))
+    finally:
+        community.files_for = old
+    assert [sum(v > b for b in borders) for v in values] == want
+    local = community.cluster_numbers(sorted(counts.items()), k, 50)
+    assert [sum(v > b for b in local) for v in values] == want
+
+
+def test_clusters_do_not_depend_on_bins(spark):
+    r = random.Random(5)
+    e = [(r.randrange(60), r.randrange(60)) for _ in range(150)] + [(60 + r.randrange(60), 60 + r.randrange(60)) for _ in range(300)] + [(0, v) for v in range(1, 120)]
+    few, many = (pairs_of(lg.power_iteration_clustering(undirected(spark, e), 4, max_iters=4, bins=b), "id", "cluster") for b in (5, 100_000))
+    assert few == many and len({c for _, c in many}) == 4
+
+
 def test_cores_and_triangles(spark):
     e = random_digraph(8, 12, 34) + [(3, 3), (1, 0)]
     g = undirected(spark, e, range(14))

@@ -6,6 +6,11 @@ class's size that advance by half of it. A passage of an item of the class then
 up at least a quarter: with a containment of 0.8 the similarity is 0.19 at least in every class, whatever the document's length.
 One minimum of HASHES is enough for a candidate; all of them miss with a probability of (1 - 0.19)**HASHES = 4e-5 at
 worst, and of 1e-6 for a whole passage. Blocks' minima are computed once and combined for the windows of all classes.
+The bound holds for shingles that stand within a window, and for items that don't repeat a shingle: an item's minima see
+distinct shingles only. Shingles scattered over more than a window are found less surely.
+
+Items that repeat a shingle are not sought by minima. Of their distinct shingles so many are looked up in every document
+that one that holds LEAST of them holds one of these: none of those documents is missed, wherever the shingles stand.
 
 A candidate is verified by exact containment: the share of the item's distinct shingles that the whole document holds.
 Words are runs of letters and digits, lower-cased for A-Z; items of fewer words than WIDTH are one shingle of their own
@@ -49,6 +54,7 @@ class Index:
         self.sets: list[np.ndarray] = []
         self.short: dict[int, dict[int, list[int]]] = {}
         classes: dict[int, list[int]] = {}
+        repeating: list[int] = []
         for k in range(len(items)):
             own = hashes[at[k] : at[k + 1]]
             width = min(WIDTH, len(own))
@@ -56,6 +62,8 @@ class Index:
             self.sets.append(np.unique(grams))
             if 0 < width < WIDTH:
                 self.short.setdefault(width, {}).setdefault(int(grams[0]), []).append(k)
+            elif width and len(self.sets[k]) < len(grams):
+                repeating.append(k)
             elif width:
                 c = max(0, int(np.ceil(np.log2(len(grams) / BASE))))
                 classes.setdefault(c, []).append(k)
@@ -65,10 +73,22 @@ class Index:
             minima = np.stack([(self.sets[k] * self.a[:, None] + self.b[:, None]).min(1) for k in members], 1)
             keys = self._keys(minima, np.arange(HASHES)[:, None]).T.ravel()
             order = np.argsort(keys, kind="stable")
-            bits = max(16, int(16 * len(keys)).bit_length())
-            bitmap = np.zeros(1 << bits, bool)
-            bitmap[keys >> np.uint64(64 - bits)] = True
-            self.classes[c] = keys[order], np.repeat(members, HASHES)[order], bitmap, 64 - bits
+            self.classes[c] = keys[order], np.repeat(members, HASHES)[order], *self._bitmap(keys)
+        # Without these, a repeating item's shingles are fewer than LEAST of all.
+        enough = [self.sets[k][: len(self.sets[k]) - int(np.ceil(LEAST * len(self.sets[k]) - 1e-9)) + 1] for k in repeating]
+        self.repeating: tuple[np.ndarray, np.ndarray, np.ndarray, int] | None = None
+        if enough:
+            keys = np.concatenate(enough)
+            order = np.argsort(keys, kind="stable")
+            self.repeating = keys[order], np.repeat(repeating, [len(e) for e in enough])[order], *self._bitmap(keys)
+
+    @staticmethod
+    def _bitmap(keys: np.ndarray) -> tuple[np.ndarray, int]:
+        """Which first bits the keys have, and the shift to them."""
+        bits = max(16, int(16 * len(keys)).bit_length())
+        bitmap = np.zeros(1 << bits, bool)
+        bitmap[keys >> np.uint64(64 - bits)] = True
+        return bitmap, 64 - bits
 
     @staticmethod
     def _keys(minima: np.ndarray, function: np.ndarray) -> np.ndarray:
@@ -142,7 +162,20 @@ class Index:
             at = end
         return found
 
+    def _holders(self, grams: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(document, item) pairs for those repeating items of which a document holds a shingle that is looked up."""
+        if self.repeating is None:
+            return
+        keys, items, bitmap, shift = self.repeating
+        for d, own in enumerate(grams):
+            maybe = np.unique(own[bitmap[own >> np.uint64(shift)]])
+            low, high = np.searchsorted(keys, maybe), np.searchsorted(keys, maybe, side="right")
+            for x, y in zip(low, high):
+                for i in items[x:y]:
+                    yield d, int(i)
+
     def _all_candidates(self, grams: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        yield from self._holders(grams)
         overlap = BASE * 2 ** (max(self.classes, default=0) + 2)
         piece = max(1 << 17, 4 * overlap)
         small = [d for d, g in enumerate(grams) if 0 < len(g) <= piece]

@@ -53,6 +53,26 @@ def test_matches_brute_force(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x}
 
 
+def test_items_that_repeat_their_shingles():
+    """Refrains, whole, with fewer repeats, altered and apart, in long diverse texts."""
+    r = random.Random(3)
+    some = lambda n, of=10**6: [f"w{r.randrange(of)}" for _ in range(n)]
+    items, docs = [], []
+    for k, (size, times) in enumerate([(4, 25), (6, 12), (5, 8), (8, 5), (1, 30), (3, 9)] * 12):
+        refrain = some(size)
+        items.append((k, " ".join((some(3) if k % 5 == 0 else []) + refrain * times)))
+        own = items[-1][1].split()
+        if k % 4 == 3:
+            own[r.randrange(len(own))] = "changed"
+        middle = some(600) if k % 3 == 2 else []
+        docs.append((k, " ".join(some(600) + own[: len(own) // 2 + size] + middle + own[len(own) // 2 - size :] + some(600))))
+    docs.append((900, " ".join(some(600) + [w for _, t in items for w in t.split()[:2]])))
+    index = d.Index(items)
+    got = {i: sorted(found) for (i, _), found in zip(docs, index.search([t for _, t in docs]))}
+    want = brute(docs, items)
+    assert got == want and sum(map(bool, want.values())) > 60
+
+
 def test_a_passage_in_a_very_long_document(spark):
     r = random.Random(1)
     item = " ".join(f"q{r.randrange(10**6)}" for _ in range(20))

@@ -8,8 +8,9 @@ distances of every row to its group's current model, and the least bins that hol
 the next mean and covariance. A step moves one row per group, start and bin. Two starts (medians with median absolute
 deviations, and plain means with covariances) run side by side; the smaller determinant wins. FLOOR, added to each
 standard deviation in quadrature, keeps statistics that are constant in clean text, such as a symbol count of zero, from
-making every other value an outlier. Groups of fewer than LEAST rows use their language's model, then that of all rows,
-and then none, which keeps what passes the base rules.
+making every other value an outlier. Groups of fewer than LEAST rows use their language's model, then that of all rows.
+That one is fitted from FEWEST rows on; fewer rows than twice the dimensions have no model, which keeps what passes the
+base rules.
 
 Null and empty texts have no words and fail the base rules. A null language or source is a value like any other.
 """
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Scratch, encoded, prepare
 
 #: Share of a group's rows in the core, concentration steps, rows of a group with a model of its own.
-CORE, STEPS, LEAST = 0.75, 8, 200
+CORE, STEPS, LEAST = 0.75, 8, 50
 #: A clean vector lies beyond the cutoff with this probability, were vectors normal.
 TAIL = 1e-7
 #: Added to the standard deviation of each statistic: words, word length, symbols, repeated lines, repeated words.
 FLOOR = (0.35, 0.08, 0.45, 0.6, 0.6)
 P = len(FLOOR)
+#: Rows for a model of all rows.
+FEWEST = 2 * P
 _SYMBOLS, _SPACES = b"#*$%&|<>", b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -132,7 +135,7 @@ def fit(statistics: DataFrame, scratch: Scratch) -> DataFrame:
     levels = F.array(group(0, F.col("lang"), F.col("source")), group(1, F.col("lang"), null), group(2, null, null))
     rows = statistics.select("x", F.explode(levels).alias("g")).select("x", "g.*")
     x = [F.col("x")[i] for i in range(P)]
-    middle = rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("rows"), *[F.percentile_approx(x[i], 0.5, 1000).alias(f"m{i}") for i in range(P)], *[F.avg(x[i]).alias(f"a{i}") for i in range(P)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in _UPPER]).where(F.col("rows") >= LEAST)
+    middle = rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("rows"), *[F.percentile_approx(x[i], 0.5, 1000).alias(f"m{i}") for i in range(P)], *[F.avg(x[i]).alias(f"a{i}") for i in range(P)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in _UPPER]).where(F.col("rows") >= F.when(F.col("level") == 2, FEWEST).otherwise(LEAST))
     middle = scratch.save(middle, "middle")
 
     def joined(b: DataFrame) -> DataFrame:

@@ -85,3 +85,15 @@ def test_estimates_are_concentrated_and_robust(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert q.quality(df).collect() == [] and q.keep_good(df).collect() == []
+
+
+def test_small_tables_and_groups_have_verdicts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    passed = [r for r in q.quality(docs).collect() if not r.base_failed]
+    junk = [r for r in passed if 100 * r.n_symbols > 17 * r.n_words]
+    assert len(passed) == 171 and len(junk) == 11 and not any(r.kept for r in junk) and sum(r.kept for r in passed) == 160
+    x = "array(rand(1), rand(2), rand(3), rand(4), rand(5)) as x"
+    rows = spark.range(60).selectExpr("'en' as lang", "'a' as source", x).union(spark.range(9).selectExpr("'de' as lang", "'a' as source", x))
+    models = lambda df: {(m.level, m.g_lang, m.g_source): m.rows for m in q.fit(df, q.Scratch(spark, "test")).collect()}
+    assert models(rows) == {(0, "en", "a"): 60, (1, "en", None): 60, (2, None, None): 69}
+    assert models(rows.where("lang = 'de'")) == {} and models(rows.limit(10)) == {(2, None, None): 10}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,54 +18,56 @@ def label_propagation(graph: Graph, *, max_iters: int = 10, materialize_every: i
 
     Parallel edges vote once each, and a self-loop votes twice. A vertex that hears nothing keeps its label.
     """
-    store = Store(graph.vertices.sparkSession, checkpoint_dir)
     state = graph.vertices.select(F.col(ID)).distinct().select(ID, F.col(ID).alias(LABEL))
     if graph.edges.isEmpty():
         return state
-    # Votes by neighbour: parallel edges are counted once and for all.
-    votes = store.resident(symmetrize(graph.edges.select(SRC, DST)).groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("votes")), SRC)
-    for k in range(1, max_iters + 1):
-        heard = votes.join(state.select(F.col(ID).alias(SRC), LABEL), SRC).groupBy(F.col(DST).alias(ID), LABEL).agg(F.sum("votes").alias("votes"))
-        chosen = heard.groupBy(ID).agg(F.max_by(LABEL, F.struct("votes", -F.col(LABEL))).alias("heard"))
-        after = state.join(chosen, ID, "left").select(ID, F.coalesce("heard", LABEL).alias(LABEL), (F.coalesce("heard", LABEL) != F.col(LABEL)).alias("new"))
-        if k % materialize_every and k < max_iters:
-            state = after.select(ID, LABEL)
-            continue
-        after, seen = store.measured(after, new=F.count_if(F.col("new")))
-        state = after.select(ID, LABEL)
-        if not seen["new"]:
-            break
-    else:
-        not_converged(max_iters)
-    store.release()
+    with Store(graph.vertices.sparkSession, checkpoint_dir) as store:
+        # Votes by neighbour: parallel edges are counted once and for all.
+        votes = store.resident(symmetrize(graph.edges.select(SRC, DST)).groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("votes")), SRC)
+        files = None
+        for k in range(1, max_iters + 1):
+            heard = votes.meets(state.select(F.col(ID).alias(SRC), LABEL)).groupBy(F.col(DST).alias(ID), LABEL).agg(F.sum("votes").alias("votes"))
+            chosen = heard.groupBy(ID).agg(F.max_by(LABEL, F.struct("votes", -F.col(LABEL))).alias("heard"))
+            after = state.join(chosen, ID, "left").select(ID, F.coalesce("heard", LABEL).alias(LABEL), (F.coalesce("heard", LABEL) != F.col(LABEL)).alias("new"))
+            if k % materialize_every and k < max_iters:
+                state = after.select(ID, LABEL)
+                continue
+            after, seen = store.measured(after, files, new=F.count_if(F.col("new")), rows=F.count(F.lit(1)))
+            state, files = after.select(ID, LABEL), files_for(seen["rows"])
+            if not seen["new"]:
+                break
+        else:
+            not_converged(max_iters)
     return state
 
 
+def starting_places(distinct: int, k: int) -> list[int]:
+    """Which of the distinct values, in order, are the first centres."""
+    # Clusters depend on where k-means starts.
+    return [round(i * (distinct - 1) / (k - 1)) for i in range(k)]
+
+
 def cluster_numbers(values: list[tuple[float, int]], k: int, rounds: int) -> list[float]:
     """Borders of a one-dimensional k-means over (value, count) pairs in order: a value's cluster is how many borders it passes.
 
-    Centres start at evenly spaced distinct values, and a value midway between two centres goes to the first. Up to k
-    distinct values are clusters of their own.
+    A value midway between two centres goes to the first; an empty cluster keeps its centre. No more distinct values than
+    k are clusters of their own.
     """
-    points = [v for v, _ in values]
-    if k <= 1 or not points:
-        return []
-    if len(points) <= k:
-        return [(x + y) / 2 for x, y in zip(points, points[1:])]
-    centres = [points[round(i * (len(points) - 1) / (k - 1))] for i in range(k)]
-    borders: list[float] = []
+    points, weights = (np.array(x) for x in zip(*values)) if values else (np.zeros(0), np.zeros(0))
+    middle = lambda x: (x[1:] + x[:-1]) / 2
+    if len(points) <= max(k, 1) or k <= 1:
+        return middle(points).tolist() if k > 1 else []
+    centres, borders, cuts = points[starting_places(len(points), k)], np.zeros(0), None
     for _ in range(rounds):
-        after = [(x + y) / 2 for x, y in zip(centres, centres[1:])]
-        if after == borders:
+        after = middle(centres)
+        at = np.searchsorted(points, after, side="right").tolist()
+        if at == cuts:
             break
-        borders, at, sums = after, 0, [[0.0, 0] for _ in centres]
-        for v, n in values:
-            while at < len(borders) and v > borders[at]:
-                at += 1
-            sums[at][0] += v * n
-            sums[at][1] += n
-        centres = [s / n if n else c for (s, n), c in zip(sums, centres)]
-    return borders
+        borders, cuts = after, at
+        for c, (low, high) in enumerate(zip([0, *at], [*at, len(points)])):
+            if low < high:
+                centres[c] = np.average(points[low:high], weights=weights[low:high])
+    return borders.tolist()
 
 
 def _passed(borders: list[float]) -> Column:
@@ -85,7 +88,7 @@ def distributed_cluster_numbers(distinct: DataFrame, rows: int, k: int, rounds:
         return []
     dealt = store.keep(distinct.repartitionByRange(files_for(rows), "value").withColumn("range", F.spark_partition_id()))
     wanted, start = [], 0
-    places = [round(i * (rows - 1) / (k - 1)) for i in range(k)]
+    places = starting_places(rows, k)
     for part in sorted(dealt.groupBy("range").count().collect(), key=lambda r: r["range"]):
         wanted += [(part["range"], p - start + 1, p) for p in sorted(set(places)) if start <= p < start + part["count"]]
         start += part["count"]
@@ -116,26 +119,25 @@ def power_iteration_clustering(graph: Graph, k: int, *, max_iters: int = 100, to
     if k < 1:
         raise ValueError(f"k must be >= 1, got {k}")
     spark = graph.edges.sparkSession
-    store = Store(spark)
     both = symmetrize(canonicalize(graph.edges))
     degrees = both.groupBy(SRC).agg(F.count(F.lit(1)).alias("degree"))
-    links = store.resident(both, DST)
-    state, seen = store.measured(degrees.select(F.col(SRC).alias(ID), "degree", F.col("degree").cast("double").alias("x"), F.lit(0.0).alias("moved"), F.lit(0.0).alias("bend")), total=F.sum("x"), rows=F.count(F.lit(1)))
-    if not seen["rows"]:
-        return spark.createDataFrame([], f"{ID} bigint, {CLUSTER} bigint")
-    scale = seen["total"]
-    for step in range(max_iters):
-        # x is kept before its division by `scale`, which is known only when the round is written.
-        x = F.col("x") / F.lit(float(scale))
-        sums = links.join(state.select(F.col(ID).alias(DST), x.alias("value")), DST).groupBy(F.col(SRC).alias(ID)).agg(F.sum("value").alias("heard"))
-        after = state.join(sums, ID).select(ID, "degree", x.alias("before"), F.col("moved"), (F.col("heard") / F.col("degree")).alias("x"))
-        after, seen = store.measured(after, total=F.sum(F.abs("x")))
-        scale = seen["total"] or 1.0
-        moved = F.col("x") / F.lit(float(scale)) - F.col("before")
-        state, seen = store.measured(after.select(ID, "degree", "x", moved.alias("moved"), F.abs(moved - F.col("moved")).alias("bend")), bend=F.sum("bend"))
-        if step and seen["bend"] < tol:
-            break
-    store.release()
+    with Store(spark) as store:
+        links = store.resident(both, DST)
+        state, seen = store.measured(degrees.select(F.col(SRC).alias(ID), "degree", F.col("degree").cast("double").alias("x"), F.lit(0.0).alias("moved"), F.lit(0.0).alias("bend")), total=F.sum("x"), rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            return spark.createDataFrame([], f"{ID} bigint, {CLUSTER} bigint")
+        scale, files = seen["total"], files_for(seen["rows"])
+        for step in range(max_iters):
+            # x is kept before its division by `scale`, which is known only when the round is written.
+            x = F.col("x") / F.lit(float(scale))
+            sums = links.meets(state.select(F.col(ID).alias(DST), x.alias("value"))).groupBy(F.col(SRC).alias(ID)).agg(F.sum("value").alias("heard"))
+            after = state.join(sums, ID).select(ID, "degree", x.alias("before"), F.col("moved"), (F.col("heard") / F.col("degree")).alias("x"))
+            after, seen = store.measured(after, files, total=F.sum(F.abs("x")))
+            scale = seen["total"] or 1.0
+            moved = F.col("x") / F.lit(float(scale)) - F.col("before")
+            state, seen = store.measured(after.select(ID, "degree", "x", moved.alias("moved"), F.abs(moved - F.col("moved")).alias("bend")), files, bend=F.sum("bend"))
+            if step and seen["bend"] < tol:
+                break
     # By way of decimal digits, so that sums in another order give the same value on both sides of a power of ten.
     values = store.keep(state.select(ID, F.format_string("%.11e", F.col("x") / F.lit(float(scale))).cast("double").alias("value")))
     distinct = store.keep(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")))

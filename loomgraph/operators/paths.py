@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions.edges import name, predicate
 from loomgraph.names import DISTANCE, DST, FROM, ID, LANDMARK, SRC, TO
 from loomgraph.operators.graph import Graph
-from loomgraph.plans.fixed_point import not_converged
-from loomgraph.plans.store import Store
+from loomgraph.plans.fixed_point import not_converged, written_each_round
+from loomgraph.plans.store import Store, files_for
 
 
 def walkable(graph: Graph, edge_filter: Column | str | None = None) -> DataFrame:
@@ -127,27 +127,28 @@ def bfs_paths(graph: Graph, from_filter: Column | str, to_filter: Column | str,
 def shortest_paths(graph: Graph, landmarks: Sequence[int], *, max_iters: int = 100, materialize_every: int = 1, checkpoint_dir: str | None = None) -> DataFrame:
     """[id, landmark, distance]: hops from each vertex to each landmark that it reaches; one search serves all landmarks.
 
-    A landmark that is no vertex has no rows, and one given twice has its rows twice.
+    A landmark that is no vertex has no rows, and one given twice has its rows twice. The state is one table of least
+    distances: a round adds the neighbours of the vertices that the round before has reached, keeps the least, and
+    writes it once; materialize_every can only be 1.
     """
+    written_each_round(materialize_every)
     spark = graph.edges.sparkSession
-    store = Store(spark, checkpoint_dir)
     wanted = spark.createDataFrame([(int(x),) for x in landmarks], f"{LANDMARK} bigint")
     ids = graph.vertices.select(F.col(ID)).distinct()
     start = ids.join(wanted.select(F.col(LANDMARK).alias(ID)).distinct(), ID, "left_semi").select(ID, F.col(ID).alias(LANDMARK), F.lit(0).cast("bigint").alias(DISTANCE))
     back = walkable(graph).join(ids.select(F.col(ID).alias(SRC)), SRC, "left_semi").join(ids.select(F.col(ID).alias(DST)), DST, "left_semi")
-    back = store.resident(back.select(SRC, DST), DST)
-    frontier, found, seen = start, start, {"rows": 1}
-    for k in range(1, max_iters + 1):
-        near = back.join(frontier.select(F.col(ID).alias(DST), LANDMARK), DST).select(F.col(SRC).alias(ID), LANDMARK).distinct()
-        fresh = near.join(found, [ID, LANDMARK], "left_anti").select(ID, LANDMARK, F.lit(k).cast("bigint").alias(DISTANCE))
-        frontier, seen = store.measured(fresh, rows=F.count(F.lit(1)))
-        if not seen["rows"]:
-            break
-        found = found.union(frontier)
-    else:
-        not_converged(max_iters)
-    store.release()
-    return found.join(F.broadcast(wanted), LANDMARK).select(ID, LANDMARK, DISTANCE)
+    with Store(spark, checkpoint_dir) as store:
+        back = store.resident(back.select(SRC, DST), DST)
+        state, seen = store.measured(start, 1, rows=F.count(F.lit(1)), new=F.count(F.lit(1)))
+        for k in range(1, max_iters + 1):
+            if not seen["new"]:
+                break
+            fresh = back.meets(state.where(F.col(DISTANCE) == k - 1).select(F.col(ID).alias(DST), LANDMARK)).select(F.col(SRC).alias(ID), LANDMARK, F.lit(k).cast("bigint").alias(DISTANCE))
+            least = state.union(fresh).groupBy(ID, LANDMARK).agg(F.min(DISTANCE).alias(DISTANCE))
+            state, seen = store.measured(least, files_for(8 * seen["rows"]), rows=F.count(F.lit(1)), new=F.count_if(F.col(DISTANCE) == k))
+        if seen["new"]:
+            not_converged(max_iters)
+    return state.join(F.broadcast(wanted), LANDMARK).select(ID, LANDMARK, DISTANCE)
 
 
 def all_paths_frame(graph: Graph, source: int, target: int, *, max_path_length: int = 5, edge_filter: Column | str | None = None, max_paths: int = 1_000_000) -> DataFrame:
@@ -177,11 +178,16 @@ def all_paths(graph: Graph, source: int, target: int, *, max_path_length: int =
     return sorted(list(r["path"]) for r in found.collect())
 
 
+def _draw(*key: Column) -> Column:
+    """A number below 2**52 from the key."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[k.cast("string") for k in key]).cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
 def random_walks_frame(graph: Graph, *, walk_length: int = 10, num_walks: int = 1, seed: int = 0) -> DataFrame:
     """[start, walk, path]: num_walks walks from every vertex, all a step at a time.
 
-    A step's choice is a hash of seed, start, walk and step modulo the neighbours in order, so walks are the same on any
-    cluster and however rows are partitioned. They are not the sequence that one sequential generator would give.
+    A step's choice is the MD5 of `seed-start-walk-step` (its first 13 hexadecimal digits) modulo the neighbours in
+    order, so walks are the same on any cluster and however rows are partitioned. They are not the sequence that one sequential generator would give.
     """
     store = Store(graph.edges.sparkSession)
     order = Window.partitionBy(SRC).orderBy(DST)
@@ -191,7 +197,7 @@ def random_walks_frame(graph: Graph, *, walk_length: int = 10, num_walks: int =
     walks = graph.vertices.select(F.col(ID).alias("start")).distinct().select("start", F.explode(numbers).alias("walk"))
     walks = walks.select("start", "walk", F.col("start").alias("at"), F.array("start").alias("path"))
     for k in range(walk_length):
-        chosen = walks.join(fans.withColumnRenamed(SRC, "at"), "at", "left").withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "start", "walk", F.lit(k)), F.col("fan")).cast("int"))
+        chosen = walks.join(fans.withColumnRenamed(SRC, "at"), "at", "left").withColumn("place", (_draw(F.lit(seed), F.col("start"), F.col("walk"), F.lit(k)) % F.col("fan")).cast("int"))
         moved = chosen.join(steps.select(F.col(SRC).alias("at"), "place", DST), ["at", "place"], "left")
         # A walk that is stuck stays where it is, without a fan, and does not grow.
         walks = store.keep(moved.select("start", "walk", F.coalesce(DST, "at").alias("at"), F.when(F.col(DST).isNull(), F.col("path")).otherwise(F.array_append("path", F.col(DST))).alias("path")))

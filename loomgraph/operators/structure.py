@@ -2,41 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.edges import canonicalize, symmetrize
 from loomgraph.names import APPROX, CORE, DST, HOP, ID, SELECTED, SRC, TRIANGLES
 from loomgraph.operators.graph import Graph, endpoints
-from loomgraph.plans.fixed_point import not_converged
-from loomgraph.plans.store import Store
+from loomgraph.plans.fixed_point import not_converged, written_each_round
+from loomgraph.plans.store import Store, files_for
+
+#: A round of k_core looks at the neighbours of changed vertices only if these are fewer than one in so many.
+SPARSE = 20
 
 
 def k_core(graph: Graph, *, max_iters: int = 100, materialize_every: int = 1, checkpoint_dir: str | None = None) -> DataFrame:
     """[id, core]: core numbers, as the fixed point of each vertex taking the h-index of its neighbours' estimates.
 
-    The h-index comes from counts of neighbours per estimate, so no vertex's neighbours are gathered into one array.
+    The h-index comes from counts of neighbours per estimate, so no vertex's neighbours are gathered into one array. Once
+    few estimates change, a round looks only at the neighbours of those that did; that needs to know them, so every
+    round is written and materialize_every can only be 1.
     """
-    store = Store(graph.vertices.sparkSession, checkpoint_dir)
+    written_each_round(materialize_every)
     ids = graph.vertices.select(F.col(ID)).distinct()
-    links = store.resident(symmetrize(canonicalize(graph.edges)), SRC)
-    state = links.groupBy(F.col(SRC).alias(ID)).agg(F.count(F.lit(1)).alias(CORE))
     down = Window.partitionBy(ID).orderBy(F.desc("estimate"))
-    for k in range(1, max_iters + 1):
-        heard = links.join(state.select(F.col(ID).alias(SRC), F.col(CORE).alias("estimate")), SRC).groupBy(F.col(DST).alias(ID), "estimate").agg(F.count(F.lit(1)).alias("n"))
-        index = heard.select(ID, F.least("estimate", F.sum("n").over(down)).alias("h")).groupBy(ID).agg(F.max("h").alias("h"))
-        after = state.join(index, ID).select(ID, F.least(CORE, "h").alias(CORE), (F.col("h") < F.col(CORE)).alias("less"))
-        if k % materialize_every and k < max_iters:
-            state = after.select(ID, CORE)
-            continue
-        after, seen = store.measured(after, less=F.count_if(F.col("less")))
-        state = after.select(ID, CORE)
-        if not seen["less"]:
-            break
-    else:
-        not_converged(max_iters)
-    store.release()
-    return ids.join(state, ID, "left").select(ID, F.coalesce(CORE, F.lit(0).cast("bigint")).alias(CORE))
+    with Store(graph.vertices.sparkSession, checkpoint_dir) as store:
+        links = store.resident(symmetrize(canonicalize(graph.edges)), SRC)
+        degrees = links.rows.groupBy(F.col(SRC).alias(ID)).agg(F.count(F.lit(1)).alias(CORE))
+        state, seen = store.measured(degrees.select(ID, CORE, F.lit(True).alias("less")), rows=F.count(F.lit(1)), less=F.count(F.lit(1)))
+        for _ in range(max_iters):
+            if not seen["less"]:
+                break
+            estimates = links.meets(state.select(F.col(ID).alias(SRC), F.col(CORE).alias("estimate")))
+            if SPARSE * seen["less"] < seen["rows"]:
+                near = links.meets(state.where("less").select(F.col(ID).alias(SRC))).select(DST).distinct()
+                estimates = estimates.join(near, DST, "left_semi")
+            heard = estimates.groupBy(F.col(DST).alias(ID), "estimate").agg(F.count(F.lit(1)).alias("n"))
+            index = heard.select(ID, F.least("estimate", F.sum("n").over(down)).alias("h")).groupBy(ID).agg(F.max("h").alias("h"))
+            core = F.least(CORE, F.coalesce("h", CORE))
+            after = state.join(index, ID, "left").select(ID, core.alias(CORE), (core < F.col(CORE)).alias("less"))
+            state, seen = store.measured(after, files_for(seen["rows"]), rows=F.count(F.lit(1)), less=F.count_if(F.col("less")))
+        if seen["less"]:
+            not_converged(max_iters)
+    return ids.join(state.select(ID, CORE), ID, "left").select(ID, F.coalesce(CORE, F.lit(0).cast("bigint")).alias(CORE))
 
 
 def triangle_count(graph: Graph) -> DataFrame:
@@ -103,46 +112,55 @@ def _register(vertex: Column, precision: int) -> tuple[Column, Column]:
     return F.shiftright(h, rest).cast("int"), (rest - length + 1).cast("int")
 
 
-def _estimate(precision: int) -> Column:
-    """From a vertex's filled registers in a group."""
+#: Registers to a row of a sketch.
+PACK = 32
+
+
+def _estimate(precision: int, registers: list[str]) -> Column:
+    """From a vertex's rows of registers, null where empty."""
     m = 1 << precision
     #: HyperLogLog's bias correction.
     alpha = {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
-    empty = F.lit(m) - F.count(F.lit(1))
-    raw = F.lit(alpha * m * m) / (F.sum(F.pow(F.lit(2.0), -F.col("rho"))) + empty)
+    filled = F.sum(sum(F.col(r).isNotNull().cast("int") for r in registers))
+    empty = F.lit(m) - filled
+    raw = F.lit(alpha * m * m) / (F.sum(sum(F.coalesce(F.pow(F.lit(2.0), -F.col(r)), F.lit(0.0)) for r in registers)) + empty)
     return F.when((raw <= 2.5 * m) & (empty > 0), m * F.log(F.lit(float(m)) / F.greatest(empty, F.lit(1)))).otherwise(raw)
 
 
 def hyper_anf(graph: Graph, *, max_hops: int = 10, precision: int = 10) -> DataFrame:
     """[id, hop, approx_count]: about how many vertices each reaches within 0 to max_hops hops.
 
-    Sketches are relations of filled registers (id, register, rho), so a hop is a join and a maximum that both partial
-    aggregation and spilling serve. When no register changes any more, later hops repeat the last one.
+    A sketch is a few rows of PACK registers each, of which those without a filled register are not there: a hop is a
+    join and a maximum of PACK columns that partial aggregation and spilling serve, and moves a row where registers as
+    rows of their own would move PACK. When no register changes any more, later hops repeat the last one.
     """
     if not 4 <= precision <= 18:
         raise ValueError(f"precision must be in [4, 18], got {precision}")
-    store = Store(graph.vertices.sparkSession)
-    steps = store.resident(graph.orient(graph.edges.select(SRC, DST)).distinct(), DST)
+    each = min(PACK, 1 << precision)
+    registers = [f"r{k}" for k in range(each)]
     register, rho = _register(F.col(ID), precision)
-    now, seen = store.measured(graph.vertices.select(F.col(ID)).distinct().select(ID, register.alias("register"), rho.alias("rho")), mark=F.sum(F.hash(ID, "register", "rho").cast("bigint")))
+    ids = graph.vertices.select(F.col(ID)).distinct()
+    first = ids.select(ID, register.alias("register"), rho.cast("tinyint").alias("rho"))
+    first = first.select(ID, F.floor(F.col("register") / each).cast("int").alias("part"), *[F.when(F.col("register") % each == k, F.col("rho")).alias(r) for k, r in enumerate(registers)])
+    filled = {"filled": F.sum(sum(F.coalesce(F.col(r).cast("bigint"), F.lit(0)) for r in registers)), "rows": F.count(F.lit(1))}
     parts = []
 
     def shot(hop: int) -> DataFrame:
-        return now.groupBy(ID).agg(_estimate(precision).alias(APPROX)).select(ID, F.lit(hop).cast("bigint").alias(HOP), APPROX)
-
-    ids = graph.vertices.select(F.col(ID)).distinct()
-    parts.append(shot(0))
-    for hop in range(1, max_hops + 1):
-        heard = steps.join(now.select(F.col(ID).alias(DST), "register", "rho"), DST).select(F.col(SRC).alias(ID), "register", "rho")
-        merged = now.union(heard.join(ids, ID, "left_semi")).groupBy(ID, "register").agg(F.max("rho").alias("rho"))
-        before = seen
-        now, seen = store.measured(merged, mark=F.sum(F.hash(ID, "register", "rho").cast("bigint")))
-        parts.append(shot(hop))
-        if seen == before:
-            parts += [shot(later) for later in range(hop + 1, max_hops + 1)]
-            break
-    store.release()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        return now.groupBy(ID).agg(_estimate(precision, registers).alias(APPROX)).select(ID, F.lit(hop).cast("bigint").alias(HOP), APPROX)
+
+    with Store(graph.vertices.sparkSession) as store:
+        steps = graph.orient(graph.edges.select(SRC, DST)).distinct().join(ids.select(F.col(ID).alias(SRC)), SRC, "left_semi")
+        steps = store.resident(steps.select(SRC, DST), DST)
+        now, seen = store.measured(first, **filled)
+        parts.append(shot(0))
+        for hop in range(1, max_hops + 1):
+            heard = steps.meets(now.withColumnRenamed(ID, DST)).select(F.col(SRC).alias(ID), "part", *registers)
+            merged = now.union(heard).groupBy(ID, "part").agg(*[F.max(r).alias(r) for r in registers])
+            before = seen
+            # Registers only grow, so their sum tells whether any did.
+            now, seen = store.measured(merged, **filled)
+            parts.append(shot(hop))
+            if seen == before:
+                parts += [shot(later) for later in range(hop + 1, max_hops + 1)]
+                break
+    return reduce(DataFrame.union, parts)

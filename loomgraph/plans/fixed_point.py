@@ -6,8 +6,9 @@ import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loomgraph.plans.store import Store
+from loomgraph.plans.store import Store, files_for
 
 
 def iterate_to_fixed_point(
@@ -21,17 +22,19 @@ def iterate_to_fixed_point(
 ) -> tuple[DataFrame, int]:
     """(final state, rounds). The round that finds no change counts. Reaching max_iters warns and returns the last state.
 
-    Every `materialize_every` rounds the state is written to the shared folder, or below checkpoint_dir, and read back.
+    Every `materialize_every` rounds the state is written to the shared folder, or below checkpoint_dir, and read back;
+    how many files it gets follows from the rows of the round before.
     """
     if max_iters < 1:
         raise ValueError(f"max_iters must be at least 1, got {max_iters}")
     if materialize_every < 1:
         raise ValueError(f"materialize_every must be at least 1, got {materialize_every}")
-    store = Store(state.sparkSession, checkpoint_dir)
+    store, files = Store(state.sparkSession, checkpoint_dir), None
     for k in range(1, max_iters + 1):
         after = step_fn(state)
         if k % materialize_every == 0 or k == max_iters:
-            after = store.keep(after)
+            after, seen = store.measured(after, files, rows=F.count(F.lit(1)))
+            files = files_for(2 * seen["rows"])
         if converged_fn(state, after):
             return after, k
         state = after
@@ -41,6 +44,12 @@ def iterate_to_fixed_point(
     return state, max_iters
 
 
+def written_each_round(materialize_every: int) -> None:
+    """For loops whose rounds need a number from the round before, which is read while that one is written."""
+    if materialize_every != 1:
+        raise ValueError(f"every round is written: materialize_every can only be 1, not {materialize_every}")
+
+
 def not_converged(rounds: int) -> None:
     warnings.warn(f"no fixed point within {rounds} iterations; the result is that of the last one", UserWarning, stacklevel=3)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.edges import canonicalize, dedupe_edges, drop_self_loops
 from loomgraph.names import COMPONENT, DST, ID, SRC
 from loomgraph.operators.graph import DirectedGraph, Graph
-from loomgraph.plans.fixed_point import not_converged
+from loomgraph.plans.fixed_point import written_each_round
 from loomgraph.plans.store import Store, files_for
 
 #: Edges up to which `auto` solves on one machine.
@@ -57,11 +57,18 @@ def _star_labels(graph: Graph, max_iters: int, materialize_every: int, checkpoin
         if seen == before:
             break
     else:
-        not_converged(max_iters)
+        return _diffused(edges, store, seen["rows"])
     # Every remaining edge points from a vertex to its component's least vertex.
     return edges.groupBy(F.col(SRC).alias(ID)).agg(F.min(DST).alias(COMPONENT))
 
 
+def _diffused(edges: DataFrame, store: Store, rows: int) -> DataFrame:
+    """[id, component] of edges that are not yet stars: least labels spread until none changes."""
+    both = edges.select(SRC, DST).union(edges.select(DST, SRC))
+    state = store.keep(both.groupBy(F.col(SRC).alias(ID)).agg(F.least(F.min(DST), F.first(SRC)).alias("value")), files_for(rows))
+    return _spread(store, both, state, rows, F.min).withColumnRenamed("value", COMPONENT)
+
+
 def _labelled(graph: Graph, labels: DataFrame) -> DataFrame:
     """One row per vertex; without a label a vertex is its own component."""
     ids = graph.vertices.select(F.col(ID)).distinct()
@@ -156,81 +163,133 @@ def _is_local(graph: Graph, strategy: str, local_threshold: int) -> bool:
 def connected_components(graph: Graph, *, strategy: str = "auto", max_iters: int = 30, materialize_every: int = 1, checkpoint_dir: str | None = None, local_threshold: int = LOCAL_EDGES) -> DataFrame:
     """[id, component]: weak components of either flavor, labelled by their least vertex; one row per vertex.
 
-    `distributed` alternates large-star and small-star contraction, each round written to the shared folder. `local`
-    brings the distinct edges to the driver; `auto` does so up to local_threshold edges.
+    `distributed` alternates large-star and small-star contraction, each round written to the shared folder; after
+    max_iters rounds least labels spread along the edges that are left, until they stand. `local` brings the distinct
+    edges to the driver; `auto` does so up to local_threshold edges. The labels are the same.
     """
     if _is_local(graph, strategy, local_threshold):
         return _local_weak(graph)
     return _labelled(graph, _star_labels(graph, max_iters, materialize_every, checkpoint_dir))
 
 
-def strongly_connected_components(graph: DirectedGraph, *, strategy: str = "auto", max_iters: int = 100, materialize_every: int = 1, checkpoint_dir: str | None = None, local_threshold: int = LOCAL_EDGES) -> DataFrame:
+def strongly_connected_components(graph: DirectedGraph, *, strategy: str = "auto", max_iters: int = 1000, materialize_every: int = 1, checkpoint_dir: str | None = None, local_threshold: int = LOCAL_EDGES) -> DataFrame:
     """[id, component]: strong components labelled by their least vertex; one row per vertex.
 
-    `distributed` first trims vertices without an edge in or out, which are components of their own, as long as there
-    are any. Then colors spread: each vertex takes the greatest id that reaches it; within a color, those that reach
-    back to the color's vertex are its component, and go. What is left starts over.
+    `distributed` repeats three steps until no edge is left. Chains of vertices with one edge in and one out become one
+    edge, by pointer jumping, so rounds go with the logarithm of a chain's length. Vertices without an edge in or out go.
+    When neither changes anything, colors spread: each vertex takes the greatest id that reaches it; within a color,
+    those that reach back to the color's vertex are its component, and go. Every loop runs to its end. Each time colors
+    spread, one component at least is found; more than max_iters times is a RuntimeError, never a wrong label.
     """
+    written_each_round(materialize_every)
     if _is_local(graph, strategy, local_threshold):
         return _local_strong(graph)
     return _labelled(graph, _colored(graph, max_iters, checkpoint_dir))
 
 
-def _trimmed(edges: DataFrame, store: Store, rows: int, max_iters: int) -> tuple[DataFrame, int]:
-    """Edges between vertices that have edges in and out."""
-    for _ in range(max_iters):
-        through = edges.select(F.col(SRC).alias(ID)).intersect(edges.select(F.col(DST).alias(ID)))
-        kept = edges.join(through.select(F.col(ID).alias(SRC)), SRC, "left_semi").join(through.select(F.col(ID).alias(DST)), DST, "left_semi")
-        kept, seen = store.measured(kept.select(SRC, DST), files_for(rows), rows=F.count(F.lit(1)))
-        if seen["rows"] == rows:
-            return kept, rows
-        edges, rows = kept, seen["rows"]
-        if not rows:
-            break
-    return edges, rows
-
-
-def _spread(store: Store, edges: DataFrame, state: DataFrame, rows: int, max_iters: int, best) -> DataFrame:
-    """state [id, value]: values move along edges as long as `best` of the old and the arriving one changes any."""
-    for _ in range(max_iters):
+def _spread(store: Store, edges: DataFrame, state: DataFrame, rows: int, best) -> DataFrame:
+    """state [id, value]: values move along edges until `best` (F.min or F.max) of the old and the arriving ones changes none."""
+    choose = F.least if best is F.min else F.greatest
+    while True:
         heard = edges.join(state.select(F.col(ID).alias(SRC), "value"), SRC).groupBy(F.col(DST).alias(ID)).agg(best("value").alias("heard"))
-        chosen = F.greatest("value", "heard")
-        state, seen = store.measured(state.join(heard, ID, "left").select(ID, chosen.alias("value"), (chosen > F.col("value")).alias("up")), files_for(rows), up=F.count_if(F.col("up")))
+        chosen = choose("value", "heard")
+        state, seen = store.measured(state.join(heard, ID, "left").select(ID, chosen.alias("value"), (chosen != F.col("value")).alias("new")), files_for(rows), new=F.count_if(F.col("new")))
         state = state.select(ID, "value")
-        if not seen["up"]:
+        if not seen["new"]:
             return state
-    not_converged(max_iters)
-    return state
+
+
+def _pruned(edges: DataFrame, store: Store, rows: int) -> tuple[DataFrame, int]:
+    """Edges between vertices that have edges in and out, after one look."""
+    through = edges.select(F.col(SRC).alias(ID)).intersect(edges.select(F.col(DST).alias(ID)))
+    kept = edges.join(through.select(F.col(ID).alias(SRC)), SRC, "left_semi").join(through.select(F.col(ID).alias(DST)), DST, "left_semi")
+    kept, seen = store.measured(kept.select(SRC, DST), files_for(rows), rows=F.count(F.lit(1)))
+    return kept, seen["rows"]
+
+
+def _unchained(edges: DataFrame, store: Store, rows: int) -> tuple[DataFrame, int, DataFrame, DataFrame] | None:
+    """Chains of vertices with one edge in and one out as one edge each; None if there is none.
+
+    (edges, rows, hung [id, head, tail]: the vertices of chains with the chain's ends, rings [id, value]: the vertices of
+    cycles that are chains all round, with the cycle's least).
+    """
+    files = files_for(rows)
+    ends = edges.select(F.col(SRC).alias(ID), F.lit(1).alias("out"), F.lit(0).alias("in"), F.col(DST).alias("after")).union(edges.select(DST, F.lit(0), F.lit(1), F.lit(None).cast("bigint")))
+    inner = ends.groupBy(ID).agg(F.sum("out").alias("out"), F.sum("in").alias("in"), F.max("after").alias("after")).where("out = 1 and in = 1")
+    inner, seen = store.measured(inner.select(ID, "after"), files, rows=F.count(F.lit(1)))
+    if not seen["rows"]:
+        return None
+    # Each points to the next one of its chain, the last one to itself, and knows the least from it up to there.
+    nexts = inner.select(F.col(ID).alias("after"), F.lit(True).alias("is_inner"))
+    state = inner.join(nexts, "after", "left").select(ID, F.when(F.col("is_inner"), F.col("after")).otherwise(F.col(ID)).alias("to"), F.col(ID).alias("value"), F.col("is_inner").isNull().alias("ended"))
+    state, before = store.keep(state, files), None
+    while True:
+        ahead = state.select(F.col(ID).alias("to"), F.col("to").alias("beyond"), F.col("value").alias("there"), F.col("ended").alias("ends"))
+        jumped = state.join(ahead, "to").select(ID, F.col("beyond").alias("to"), F.least("value", "there").alias("value"), F.col("ends").alias("ended"), (F.col("there") < F.col("value")).alias("less"))
+        state, seen = store.measured(jumped, files, open=F.count_if(~F.col("ended")), less=F.count_if(F.col("less")))
+        # Chains end in every round until all have; of rings, the least is known when no value changes any more.
+        if not seen["open"] or seen["open"] == before and not seen["less"]:
+            break
+        before = seen["open"]
+    rings = state.where("not ended").select(ID, "value")
+    last = state.where("ended").select(ID, F.col("to").alias("chain"))
+    tails = last.where("id = chain").join(inner, ID).select("chain", F.col("after").alias("tail"))
+    inside = inner.select(F.col(ID).alias(SRC))
+    heads = edges.join(inside, SRC, "left_anti").join(last.select(F.col(ID).alias(DST), "chain"), DST).select("chain", F.col(SRC).alias("head"))
+    chains = store.keep(heads.join(tails, "chain"), files)
+    hung = store.keep(last.join(chains, "chain").select(ID, "head", "tail"), files)
+    plain = edges.join(inside, SRC, "left_anti").join(inside.select(F.col(SRC).alias(DST)), DST, "left_anti").select(SRC, DST)
+    short = plain.union(chains.where("head <> tail").select("head", "tail")).distinct()
+    short, seen = store.measured(short, files, rows=F.count(F.lit(1)))
+    return short, seen["rows"], hung, rings
 
 
 def _colored(graph: DirectedGraph, max_iters: int, checkpoint_dir: str | None) -> DataFrame:
+    """[id, component] of the vertices in components of two or more."""
     store = Store(graph.edges.sparkSession, checkpoint_dir)
     edges, seen = store.measured(_inside(graph), rows=F.count(F.lit(1)))
-    rows, found = seen["rows"], []
-    for _ in range(max_iters):
-        edges, rows = _trimmed(edges, store, rows, max_iters)
-        if not rows:
-            break
+    rows, phases = seen["rows"], 0
+    found: list[DataFrame] = []
+    chains: list[DataFrame] = []
+    while rows:
+        before = rows
+        edges, rows = _pruned(edges, store, rows)
+        if rows and (short := _unchained(edges, store, rows)):
+            edges, rows, hung, rings = short
+            chains.append(hung)
+            found.append(rings)
+        if rows != before or not rows:
+            continue
+        phases += 1
+        if phases > max_iters:
+            raise RuntimeError(f"components are left after colors have spread max_iters={max_iters} times")
         start = edges.select(F.col(SRC).alias(ID)).distinct().select(ID, F.col(ID).alias("value"))
-        colors = _spread(store, edges, start, rows, max_iters, F.max)
+        colors = _spread(store, edges, start, rows, F.max)
         inside = edges.join(colors.select(F.col(ID).alias(SRC), F.col("value").alias("color")), SRC).join(colors.select(F.col(ID).alias(DST), F.col("value").alias("other")), DST).where("color = other").select(SRC, DST)
         inside = store.keep(inside, files_for(rows))
         # Backward from each color's own vertex: 1 where it is reached.
         back = inside.select(F.col(DST).alias(SRC), F.col(SRC).alias(DST))
-        reached = _spread(store, back, colors.select(ID, (F.col("value") == F.col(ID)).cast("long").alias("value")), rows, max_iters, F.max)
-        members = store.keep(colors.withColumnRenamed("value", "color").join(reached.where("value = 1").select(ID), ID, "left_semi"), files_for(rows))
+        reached = _spread(store, back, colors.select(ID, (F.col("value") == F.col(ID)).cast("long").alias("value")), rows, F.max)
+        members = store.keep(colors.join(reached.where("value = 1").select(ID), ID, "left_semi"), files_for(rows))
         found.append(members)
         for end in (SRC, DST):
             edges = edges.join(members.select(F.col(ID).alias(end)), end, "left_anti")
         edges, seen = store.measured(edges.select(SRC, DST), files_for(rows), rows=F.count(F.lit(1)))
         rows = seen["rows"]
-    else:
-        not_converged(max_iters)
-    out = found[0] if found else graph.edges.sparkSession.createDataFrame([], f"{ID} bigint, color bigint")
-    for more in found[1:]:
-        out = out.union(more)
-    least = out.groupBy("color").agg(F.min(ID).alias(COMPONENT))
-    return out.join(least, "color").select(ID, COMPONENT)
+    labels = graph.edges.sparkSession.createDataFrame([], f"{ID} bigint, value bigint")
+    for members in found:
+        labels = labels.union(members)
+    # A chain belongs to its ends' component if that is one; chains made of chains go first.
+    for hung in reversed(chains):
+        of = lambda end: labels.select(F.col(ID).alias(end), F.col("value").alias(f"{end}_value"))
+        known = hung.join(of("head"), "head", "left").join(of("tail"), "tail", "left")
+        one = F.when(F.col("head") == F.col("tail"), F.coalesce("head_value", "head")).when(F.col("head_value") == F.col("tail_value"), F.col("head_value"))
+        known = known.select(ID, "head", one.alias("value")).where("value is not null")
+        # A vertex that only closes a chain has no component so far: it and the chain are one.
+        alone = known.where("head = value").select(F.col("head").alias(ID), "value").distinct().join(labels.select(ID), ID, "left_anti")
+        labels = store.keep(labels.union(known.select(ID, "value")).union(alone))
+    least = labels.groupBy("value").agg(F.min(ID).alias(COMPONENT))
+    return labels.join(least, "value").select(ID, COMPONENT)
 
 
 def vertices_on_cycles(graph: DirectedGraph, **options) -> DataFrame:

@@ -30,9 +30,12 @@ class SvdPlusPlusResult:
 def svd_plus_plus(graph: DirectedGraph, *, rating_column: str = "rating", rank: int = 8, epochs: int = 20, learning_rate: float = 0.01, regularization: float = 0.05, seed: int = 0, strategy: str = "auto", local_threshold: int = LOCAL_RATINGS) -> SvdPlusPlusResult:
     """Fits rating ~ mean + biases + item . (user + what the user's rated items imply).
 
-    `local` is stochastic descent, user by user, on the driver; `auto` takes it up to local_threshold ratings.
-    `distributed` moves all users, then all items, in each epoch, by the sums of the same gradients; a step over n
-    ratings is damped to rate / (1 + rate * n), about what n small steps in a row would come to. Both are deterministic.
+    An epoch moves all users with what their items imply, then all items, by the sums of the gradients over their
+    ratings. A side's step is damped to rate / (1 + rate * c), about what small steps in a row would come to, where c
+    bounds the curvature of its part of the loss: so neither half of an epoch overshoots, however many ratings meet in a
+    user or an item. `local` does that in arrays on the driver, `distributed` as joins and aggregations; `auto` takes the
+    first up to local_threshold ratings. Both start at the same numbers, made from ids and seed by MD5, and give the same
+    factors but for the order of sums.
     """
     if strategy not in ("auto", "local", "distributed"):
         raise ValueError(f"strategy must be auto, local or distributed, not {strategy!r}")
@@ -45,72 +48,88 @@ def svd_plus_plus(graph: DirectedGraph, *, rating_column: str = "rating", rank:
     return _distributed(ratings, float(mean), rank, epochs, learning_rate, regularization, seed)
 
 
+def _normal(key: Column, k: int, seed: int) -> Column:
+    """About normal with deviation 0.1, from the MD5 of key, k, seed and a count, joined by hyphens."""
+    digits = [F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"-{k}-{seed}-{j}")).cast("binary")), 1, 8), 16, 10).cast("double") for j in range(3)]
+    return ((digits[0] + digits[1] + digits[2]) / float(1 << 32) - 1.5) * 0.2
+
+
+def _start(ratings: DataFrame, rank: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(users u, nu, bu, p0, ...; items i, ni, bi, q0, ..., y0, ...)"""
+    draw = lambda side, prefix, first: [_normal(F.col(side), first + k, seed).alias(f"{prefix}{k}") for k in range(rank)]
+    users = ratings.groupBy("u").agg(F.count(F.lit(1)).alias("nu")).select("u", "nu", F.lit(0.0).alias("bu"), *draw("u", "p", 0))
+    items = ratings.groupBy("i").agg(F.count(F.lit(1)).alias("ni")).select("i", "ni", F.lit(0.0).alias("bi"), *draw("i", "q", 100), *draw("i", "y", 200))
+    return users, items
+
+
 def _local(ratings: DataFrame, mean: float, rank: int, epochs: int, rate: float, reg: float, seed: int) -> SvdPlusPlusResult:
-    table = ratings.orderBy("u", "i", "r").toPandas()
-    users, u = np.unique(table["u"].to_numpy(), return_inverse=True)
-    items, i = np.unique(table["i"].to_numpy(), return_inverse=True)
+    table = ratings.toPandas()
+    first_users, first_items = (side.toPandas().sort_values(key) for side, key in zip(_start(ratings, rank, seed), "ui"))
+    users, items = first_users["u"].to_numpy(), first_items["i"].to_numpy()
+    u, i = np.searchsorted(users, table["u"].to_numpy()), np.searchsorted(items, table["i"].to_numpy())
     r = table["r"].to_numpy(float)
-    draw = np.random.default_rng(seed).normal
-    bias_u, bias_i = np.zeros(len(users)), np.zeros(len(items))
-    p, q, y = draw(0, 0.1, (len(users), rank)), draw(0, 0.1, (len(items), rank)), draw(0, 0.1, (len(items), rank))
-    spans = np.searchsorted(u, np.arange(len(users) + 1))
+    p, q, y = (side[[f"{c}{k}" for k in range(rank)]].to_numpy(float) for side, c in ((first_users, "p"), (first_items, "q"), (first_items, "y")))
+    bu, bi = np.zeros(len(users)), np.zeros(len(items))
+    nu, ni = (np.bincount(x).astype(float)[:, None] for x in (u, i))
 
-    def implied(mine: np.ndarray) -> np.ndarray:
-        return y[mine].sum(0) / np.sqrt(len(mine))
+    def sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        return np.column_stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])])
 
-    for _ in range(epochs):
-        for k in range(len(users)):
-            mine, wanted = i[spans[k] : spans[k + 1]], r[spans[k] : spans[k + 1]]
-            hidden, pull = implied(mine), np.zeros(rank)
-            for item, want in zip(mine, wanted):
-                error = want - mean - bias_u[k] - bias_i[item] - q[item] @ (p[k] + hidden)
-                bias_u[k] += rate * (error - reg * bias_u[k])
-                bias_i[item] += rate * (error - reg * bias_i[item])
-                pull += error * q[item]
-                toward = error * (p[k] + hidden) - reg * q[item]
-                p[k] += rate * (error * q[item] - reg * p[k])
-                q[item] += rate * toward
-            # What the user's ratings say about the implicit factors is applied when the user is through.
-            np.add.at(y, mine, rate * (pull / np.sqrt(len(mine)) - reg * y[mine]))
-    hidden = np.stack([implied(i[a:b]) for a, b in zip(spans, spans[1:])])
-    error = r - mean - bias_u[u] - bias_i[i] - np.einsum("nk,nk->n", q[i], p[u] + hidden[u])
-    rows = [(int(x), "user", float(b), f.tolist()) for x, b, f in zip(users, bias_u, p)] + [(int(x), "item", float(b), f.tolist()) for x, b, f in zip(items, bias_i, q)]
-    return SvdPlusPlusResult(ratings.sparkSession.createDataFrame(rows, _FACTORS), mean, float(np.sqrt(np.mean(error**2))))
+    def implied() -> np.ndarray:
+        return sums(u, y[i], len(users)) / np.sqrt(nu)
 
+    def errors() -> np.ndarray:
+        return (r - mean - bu[u] - bi[i] - np.einsum("nk,nk->n", q[i], p[u] + z[u]))[:, None]
 
-def _normal(key: Column, k: int, seed: int) -> Column:
-    """About normal with deviation 0.1, from a hash of the key."""
-    uniform = [F.pmod(F.xxhash64(key, F.lit(k), F.lit(seed), F.lit(j)), F.lit(1 << 30)) / float(1 << 30) for j in range(3)]
-    return (uniform[0] + uniform[1] + uniform[2] - 1.5) * 0.2
+    z, near = implied(), sums(i, nu[u], len(items))
+    for _ in range(epochs):
+        e = errors()
+        pull, curve = sums(u, e * q[i], len(users)), sums(u, np.square(q[i]).sum(1, keepdims=True), len(users))
+        step = rate / (1 + rate * (nu + 2 * curve))
+        bu = bu + (step * (sums(u, e, len(users)) - reg * nu * bu[:, None]))[:, 0]
+        p = p + step * (pull - reg * nu * p)
+        y = y + sums(i, (np.sqrt(nu) * step * pull)[u], len(items)) / near - rate * reg * y
+        z = implied()
+        e, at = errors(), p[u] + z[u]
+        step = rate / (1 + rate * (ni + sums(i, np.square(at).sum(1, keepdims=True), len(items))))
+        bi = bi + (step * (sums(i, e, len(items)) - reg * ni * bi[:, None]))[:, 0]
+        q = q + step * (sums(i, e * at, len(items)) - reg * ni * q)
+    rows = [(int(x), "user", float(b), f.tolist()) for x, b, f in zip(users, bu, p)] + [(int(x), "item", float(b), f.tolist()) for x, b, f in zip(items, bi, q)]
+    return SvdPlusPlusResult(ratings.sparkSession.createDataFrame(rows, _FACTORS), mean, float(np.sqrt(np.mean(np.square(errors())))))
 
 
 def _distributed(ratings: DataFrame, mean: float, rank: int, epochs: int, rate: float, reg: float, seed: int) -> SvdPlusPlusResult:
     store, each = Store(ratings.sparkSession), range(rank)
     ratings = store.keep(ratings)
-    users = store.keep(ratings.groupBy("u").agg(F.count(F.lit(1)).alias("nu")).select("u", "nu", F.lit(0.0).alias("bu"), *[_normal(F.col("u"), k, seed).alias(f"p{k}") for k in each]))
-    items = store.keep(ratings.groupBy("i").agg(F.count(F.lit(1)).alias("ni")).select("i", "ni", F.lit(0.0).alias("bi"), *[_normal(F.col("i"), 100 + k, seed).alias(f"q{k}") for k in each], *[_normal(F.col("i"), 200 + k, seed).alias(f"y{k}") for k in each]))
+    users, items = map(store.keep, _start(ratings, rank, seed))
+    items = store.keep(items.join(ratings.join(users.select("u", "nu"), "u").groupBy("i").agg(F.sum("nu").alias("near")), "i"))
+    total = lambda column, name: F.sum(column).alias(name)
 
     def implied() -> DataFrame:
-        sums = ratings.join(items.select("i", *[f"y{k}" for k in each]), "i").groupBy("u").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y{k}").alias(f"s{k}") for k in each])
-        return sums.select("u", *[(F.col(f"s{k}") / F.sqrt("n")).alias(f"z{k}") for k in each])
+        sums = ratings.join(items.select("i", *[f"y{k}" for k in each]), "i").groupBy("u").agg(F.count(F.lit(1)).alias("n"), *[total(f"y{k}", f"s{k}") for k in each])
+        return store.keep(sums.select("u", *[(F.col(f"s{k}") / F.sqrt("n")).alias(f"z{k}") for k in each]))
 
-    def errors(users: DataFrame, z: DataFrame) -> DataFrame:
+    def errors() -> DataFrame:
         rows = ratings.join(users, "u").join(z, "u").join(items, "i")
         guess = mean + F.col("bu") + F.col("bi") + sum(F.col(f"q{k}") * (F.col(f"p{k}") + F.col(f"z{k}")) for k in each)
         return rows.withColumn("e", F.col("r") - guess)
 
-    def damped(n: str) -> Column:
-        return F.lit(rate) / (1 + rate * F.col(n))
+    def moved(now: str, gradient: str, n: str) -> Column:
+        return (F.col(now) + F.col("step") * (F.col(gradient) - reg * F.col(n) * F.col(now))).alias(now)
 
+    z = implied()
     for _ in range(epochs):
-        z = store.keep(implied())
-        pulls = errors(users, z).groupBy("u").agg(F.sum("e").alias("ge"), *[F.sum(F.col("e") * F.col(f"q{k}")).alias(f"g{k}") for k in each])
-        pulled = store.keep(users.join(pulls, "u"))
-        users = pulled.select("u", "nu", (F.col("bu") + damped("nu") * (F.col("ge") - reg * F.col("nu") * F.col("bu"))).alias("bu"), *[(F.col(f"p{k}") + damped("nu") * (F.col(f"g{k}") - reg * F.col("nu") * F.col(f"p{k}"))).alias(f"p{k}") for k in each])
-        toward = errors(users, z).join(pulled.select("u", *[f"g{k}" for k in each]), "u").groupBy("i").agg(F.sum("e").alias("ge"), *[F.sum(F.col("e") * (F.col(f"p{k}") + F.col(f"z{k}"))).alias(f"h{k}") for k in each], *[F.sum(F.col(f"g{k}") / F.sqrt("nu")).alias(f"w{k}") for k in each])
-        moved = items.join(toward, "i")
-        items = store.keep(moved.select("i", "ni", (F.col("bi") + damped("ni") * (F.col("ge") - reg * F.col("ni") * F.col("bi"))).alias("bi"), *[(F.col(f"q{k}") + damped("ni") * (F.col(f"h{k}") - reg * F.col("ni") * F.col(f"q{k}"))).alias(f"q{k}") for k in each], *[(F.col(f"y{k}") + damped("ni") * (F.col(f"w{k}") / F.col("ni") - reg * F.col("ni") * F.col(f"y{k}"))).alias(f"y{k}") for k in each]))
+        pulls = errors().groupBy("u").agg(total("e", "ge"), total(sum(F.pow(F.col(f"q{k}"), 2) for k in each), "curve"), *[total(F.col("e") * F.col(f"q{k}"), f"g{k}") for k in each])
+        pulled = store.keep(users.join(pulls, "u").withColumn("step", rate / (1 + rate * (F.col("nu") + 2 * F.col("curve")))))
+        users = pulled.select("u", "nu", moved("bu", "ge", "nu"), *[moved(f"p{k}", f"g{k}", "nu") for k in each])
+        wide = ratings.join(pulled.select("u", *[(F.sqrt("nu") * F.col("step") * F.col(f"g{k}")).alias(f"w{k}") for k in each]), "u").groupBy("i").agg(*[total(f"w{k}", f"w{k}") for k in each])
+        items = store.keep(items.join(wide, "i").select("i", "ni", "near", "bi", *[f"q{k}" for k in each], *[(F.col(f"y{k}") + F.col(f"w{k}") / F.col("near") - rate * reg * F.col(f"y{k}")).alias(f"y{k}") for k in each]))
+        z = implied()
+        at = [F.col(f"p{k}") + F.col(f"z{k}") for k in each]
+        toward = errors().groupBy("i").agg(total("e", "ge"), total(sum(F.pow(x, 2) for x in at), "curve"), *[total(F.col("e") * x, f"g{k}") for k, x in enumerate(at)])
+        toward = items.join(toward, "i").withColumn("step", rate / (1 + rate * (F.col("ni") + F.col("curve"))))
+        items = store.keep(toward.select("i", "ni", "near", moved("bi", "ge", "ni"), *[moved(f"q{k}", f"g{k}", "ni") for k in each], *[f"y{k}" for k in each]))
         users = store.keep(users)
-    rmse = errors(users, store.keep(implied())).agg(F.sqrt(F.avg(F.col("e") * F.col("e")))).first()[0]
+    rmse = errors().agg(F.sqrt(F.avg(F.col("e") * F.col("e")))).first()[0]
     factors = users.select(F.col("u").alias(ID), F.lit("user").alias(KIND), F.col("bu").alias(BIAS), F.array(*[f"p{k}" for k in each]).alias(FACTOR)).union(items.select("i", F.lit("item"), "bi", F.array(*[f"q{k}" for k in each])))
     return SvdPlusPlusResult(factors, mean, float(rmse))

@@ -1,7 +1,10 @@
 """Registered queries of the graph operators over the driver's whole tables, and their SQL.
 
 Graphs: `tree` is region - nation - customer and supplier; `chain` links consecutive parts of an order; `next` links the
-users of consecutive events of a day; `rates` links suppliers to parts with the mean quantity.
+users of consecutive events of a day; `rates` links suppliers to parts with the mean quantity; `nations` is region - nation.
+
+Loops run to their ends with the parameters that a user gets by default, in SQL as unrolled rounds that stand still from
+the end on.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 import loomgraph as lg
 from loomgraph.functions.edges import flipped
 from loomgraph.names import DST, ID, SRC
+from loomgraph.plans.store import Store
 from loomgraph.sources.tables import frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +30,7 @@ GRAPH_SQL = {
         union all select cast(100 + s_nationkey as bigint), 10000000 + s_suppkey, 'nation_supplier' from supplier""",
     "chain": """select src, dst, type from (select l_partkey as src, l_returnflag as type, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as dst from lineitem) where dst is not null""",
     "next": """select src, dst, type from (select user_id as src, event_type as type, lead(user_id) over (partition by date_trunc('day', ts) order by ts, event_id) as dst from events) where dst is not null""",
+    "nations": "select cast(r_regionkey as bigint) src, cast(100 + n_nationkey as bigint) dst, n_name as type from region join nation on n_regionkey = r_regionkey",
     "rates": "select l_suppkey as src, 1000000 + l_partkey as dst, avg(l_quantity) as rating from lineitem group by 1, 2",
 }
 
@@ -40,6 +45,8 @@ def edges_of(graph: str, spark: SparkSession, sf_dir: str) -> DataFrame:
         customers = read("customer").select((100 + F.col("c_nationkey")).cast("bigint"), (10000 + F.col("c_custkey")).cast("bigint"), F.lit("nation_customer"))
         suppliers = read("supplier").select((100 + F.col("s_nationkey")).cast("bigint"), (10000000 + F.col("s_suppkey")).cast("bigint"), F.lit("nation_supplier"))
         return first.union(customers).union(suppliers)
+    if graph == "nations":
+        return read("region").join(read("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").cast("bigint").alias(SRC), (100 + F.col("n_nationkey")).cast("bigint").alias(DST), F.col("n_name").alias("type"))
     if graph == "chain":
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
         return read("lineitem").select(F.col("l_partkey").alias(SRC), F.lead("l_partkey").over(order).alias(DST), F.col("l_returnflag").alias("type")).where("dst is not null")
@@ -296,29 +303,30 @@ def has_cycle(spark, d):
 
 
 def _rank_sql(start: str, n: int, extra: str = "") -> str:
-    keys = f"{extra}id"
-    on = "t.walk = s.walk and " if extra else ""
-    step = f"""select {', '.join(f't.{c.strip()}' for c in keys.split(','))}, t.restart,
-        0.85 * (coalesce(s.heard, 0.0) + z.loose * t.restart) + 0.15 * t.restart as rank
-        from {{t}} t left join (select {'t.walk, ' if extra else ''}e.dst, sum(t.rank / o.n) as heard from {{t}} t join e on e.src = t.id join o on o.src = t.id group by all) s on {on}s.dst = t.id
-        join (select {'walk, ' if extra else ''}coalesce(sum(rank) filter (where not exists (select 1 from o where o.src = q.id)), 0.0) as loose from {{t}} q {'group by walk' if extra else ''}) z on {'z.walk = t.walk' if extra else 'true'}"""
-    body = rounds(start, step, n, f"select {keys.replace('walk', 'walk as source')}, round(rank, 9) as rank from {{t}}")
+    """Rounds of the power iteration; a walk whose ranks have moved by less than 1e-6 a vertex stays as it is."""
+    walk, by = ("walk, ", "group by walk") if extra else ("", "")
+    on = "t.walk = {0}.walk and ".format if extra else (lambda _: "")
+    step = f"""select {'t.walk, ' if extra else ''}t.id, t.restart, t.rank as before,
+        case when z.moved < 1e-6 * c.n then t.rank else 0.85 * (coalesce(s.heard, 0.0) + z.loose * t.restart) + 0.15 * t.restart end as rank
+        from {{t}} t cross join c left join (select {'t.walk, ' if extra else ''}e.dst, sum(t.rank / o.n) as heard from {{t}} t join e on e.src = t.id join o on o.src = t.id group by all) s on {on('s')}s.dst = t.id
+        join (select {walk}coalesce(sum(rank) filter (where not exists (select 1 from o where o.src = q.id)), 0.0) as loose, coalesce(sum(abs(rank - before)), 1e9) as moved from {{t}} q {by}) z on {on('z')}true"""
+    body = rounds(start, step, n, f"select id, {'walk as source, ' if extra else ''}round(rank, 9) as rank from {{t}}")
     return "with o as (select src, count(*) as n from e group by src), c as (select count(*) as n from v), " + body[len("with ") :]
 
 
-@query("pagerank", _rank_sql("select id, 1.0::double / c.n as restart, 1.0::double / c.n as rank from v, c", 8), "chain")
+@query("pagerank", _rank_sql("select id, 1.0::double / c.n as restart, 1.0::double / c.n as rank, null::double as before from v, c", 30), "chain")
 def pagerank(spark, d):
-    return lg.pagerank(directed("chain", spark, d), max_iters=8, tol=0.0).select(ID, F.round("rank", 9).alias("rank"))
+    return lg.pagerank(directed("chain", spark, d)).select(ID, F.round("rank", 9).alias("rank"))
 
 
-@query("pagerank_personalized", _rank_sql("select id, case when id in (1, 3) then 0.5::double else 0.0::double end as restart, 1.0::double / c.n as rank from v, c", 6), "tree")
+@query("pagerank_personalized", _rank_sql("select id, case when id in (1, 3) then 0.5::double else 0.0::double end as restart, 1.0::double / c.n as rank, null::double as before from v, c", 30), "tree")
 def pagerank_personalized(spark, d):
-    return lg.pagerank(directed("tree", spark, d), source_ids=[1, 3, -7], max_iters=6, tol=0.0).select(ID, F.round("rank", 9).alias("rank"))
+    return lg.pagerank(directed("tree", spark, d), source_ids=[1, 3, -7]).select(ID, F.round("rank", 9).alias("rank"))
 
 
-@query("parallel_personalized_pagerank", _rank_sql("select w.walk, id, case when id = w.walk then 1.0::double else 0.0::double end as restart, 1.0::double / c.n as rank from v, c, (values (1::bigint), (2::bigint), (5::bigint)) w(walk)", 5, "walk, "), "next")
+@query("parallel_personalized_pagerank", _rank_sql("select w.walk, id, case when id = w.walk then 1.0::double else 0.0::double end as restart, 1.0::double / c.n as rank, null::double as before from v, c, (values (1::bigint), (2::bigint), (5::bigint)) w(walk)", 60, "walk, "), "next")
 def parallel_personalized_pagerank(spark, d):
-    return lg.parallel_personalized_pagerank(directed("next", spark, d), [1, 2, 5], max_iters=5, tol=0.0).select(ID, "source", F.round("rank", 9).alias("rank"))
+    return lg.parallel_personalized_pagerank(directed("next", spark, d), [1, 2, 5]).select(ID, "source", F.round("rank", 9).alias("rank"))
 
 
 # Paths
@@ -379,7 +387,13 @@ def all_paths(spark, d):
     return lg.all_paths_frame(directed("next", spark, d), 1, 7, max_path_length=3).select(F.array_join("path", ",").alias("path"))
 
 
-@query("random_walks")
+_MOVED = """select t.start, t.walk, coalesce(n.dst, t.at) as at, case when n.dst is null then t.path else t.path || ',' || n.dst end as path, t.step + 1 as step
+    from {t} t left join f on f.src = t.at left join n on n.src = t.at
+    and n.place = cast('0x' || substr(md5('1-' || t.start || '-' || t.walk || '-' || t.step), 1, 13) as bigint) % f.fan"""
+
+
+@query("random_walks", "with n as (select src, dst, row_number() over (partition by src order by dst) - 1 as place from e), f as (select src, count(*) as fan from n group by src), "
+    + rounds("select id as start, w.walk, id as at, id::varchar as path, 0 as step from v, (values (0), (1)) w(walk)", _MOVED, 5, "select start, walk, path from {t}")[len("with ") :], "next")
 def random_walks(spark, d):
     return lg.random_walks_frame(directed("next", spark, d), walk_length=5, num_walks=2, seed=1).select("start", "walk", F.array_join("path", ",").alias("path"))
 
@@ -389,20 +403,20 @@ def random_walks(spark, d):
 
 @query("label_propagation", rounds("select id, id as label from v", """select t.id, coalesce(h.label, t.label) as label from {t} t left join (
     select id, label from (select b.dst as id, s.label, row_number() over (partition by b.dst order by count(*) desc, s.label) as place
-    from (select src, dst from g union all select dst, src from g) b join {t} s on s.id = b.src group by b.dst, s.label) where place = 1) h on h.id = t.id""", 3, "select * from {t}"), "next")
+    from (select src, dst from g union all select dst, src from g) b join {t} s on s.id = b.src group by b.dst, s.label) where place = 1) h on h.id = t.id""", 10, "select * from {t}"), "next")
 def label_propagation(spark, d):
-    return lg.label_propagation(undirected("next", spark, d), max_iters=3)
+    return lg.label_propagation(undirected("next", spark, d))
 
 
 @query("power_iteration_clustering")
 def power_iteration_clustering(spark, d):
-    return lg.power_iteration_clustering(undirected("next", spark, d), 3, max_iters=15)
+    return lg.power_iteration_clustering(undirected("next", spark, d), 3)
 
 
 @query("k_core", rounds(f"select id, coalesce(n, 0) as core from v left join (select src, count(*) as n from {LINKS} group by src) on src = id", f"""select t.id, least(t.core, coalesce(h.h, 0)) as core from {{t}} t left join (
-    select id, max(least(core, place)) as h from (select l.dst as id, s.core, row_number() over (partition by l.dst order by s.core desc) as place from {LINKS} l join {{t}} s on s.id = l.src) group by id) h on h.id = t.id""", 12, "select * from {t}"), "chain")
+    select id, max(least(core, place)) as h from (select l.dst as id, s.core, row_number() over (partition by l.dst order by s.core desc) as place from {LINKS} l join {{t}} s on s.id = l.src) group by id) h on h.id = t.id""", 60, "select * from {t}"), "chain")
 def k_core(spark, d):
-    return lg.k_core(undirected("chain", spark, d), max_iters=12)
+    return lg.k_core(undirected("chain", spark, d))
 
 
 @query("triangle_count", f"""with s as {SIMPLE}, t as (select x.a as p, x.b as q, y.b as r from s x join s y on y.a = x.b join s z on z.a = x.a and z.b = y.b)
@@ -426,9 +440,46 @@ def hyper_anf(spark, d):
     return lg.hyper_anf(directed("next", spark, d), max_hops=3, precision=6).select(ID, "hop", F.round("approx_count", 6).alias("approx_count"))
 
 
-@query("svd_plus_plus")
+def _svd_sql(rank: int = 4, epochs: int = 20, rate: float = 0.01, reg: float = 0.05, seed: int = 0) -> str:
+    """The epochs of the damped sums of gradients, unrolled."""
+    each = range(rank)
+    cols = lambda form: ", ".join(form.format(k=k) for k in each)
+    hexed = lambda side, k, j: f"cast('0x' || substr(md5({side} || '-{k}-{seed}-{j}'), 1, 8) as bigint)::double"
+    normal = lambda side, k: f"(({' + '.join(hexed(side, k, j) for j in range(3))}) / 4294967296.0::double - 1.5) * 0.2::double"
+    guess = "r.r - m.mean - a.bu - b.bi - (" + " + ".join(f"b.q{k} * (a.p{k} + z.z{k})" for k in each) + ")"
+    square = lambda form: " + ".join(f"pow({form.format(k=k)}, 2)" for k in each)
+    moved = lambda now, g, n: f"{now} + step * ({g} - {reg}::double * {n} * {now}) as {now}"
+    stepped = lambda c: f"{rate}::double / (1 + {rate}::double * ({c})) as step"
+    errors = lambda a, b, z: f"(select r.u, r.i, {guess} as e, {cols('a.p{k}, b.q{k}, z.z{k}')} from r join {a} a using (u) join {b} b using (i) join {z} z using (u), m)"
+    implied = lambda b: f"select u, {cols('sum(y{k}) / sqrt(count(*)) as z{k}')} from r join {b} using (i) group by u"
+    ys = cols("y{k}")
+    parts = [
+        "r as materialized (select src as u, dst as i, rating as r from g)",
+        "m as materialized (select avg(r) as mean from r)",
+        f"a0 as materialized (select u, count(*) as nu, 0.0::double as bu, {', '.join(f'{normal('u', k)} as p{k}' for k in each)} from r group by u)",
+        f"b0 as materialized (select i, count(*) as ni, sum(nu) as near, 0.0::double as bi, {', '.join(f'{normal('i', 100 + k)} as q{k}, {normal('i', 200 + k)} as y{k}' for k in each)} from r join a0 using (u) group by i)",
+        f"z0 as materialized ({implied('b0')})",
+    ]
+    for t in range(epochs):
+        parts += [
+            f"g{t} as materialized (select a.*, {stepped('nu + 2 * curve')}, ge, {cols('g{k}')} from a{t} a join (select u, sum(e) as ge, sum({square('q{k}')}) as curve, {cols('sum(e * q{k}) as g{k}')} from {errors(f'a{t}', f'b{t}', f'z{t}')} group by u) using (u))",
+            f"a{t + 1} as materialized (select u, nu, {moved('bu', 'ge', 'nu')}, {', '.join(moved(f'p{k}', f'g{k}', 'nu') for k in each)} from g{t})",
+            f"c{t} as materialized (select b.* exclude ({ys}), {', '.join(f'y{k} + w{k} / near - {rate}::double * {reg}::double * y{k} as y{k}' for k in each)} from b{t} b join (select r.i, {cols('sum(sqrt(nu) * step * g{k}) as w{k}')} from r join g{t} using (u) group by r.i) using (i))",
+            f"z{t + 1} as materialized ({implied(f'c{t}')})",
+            f"b{t + 1} as materialized (select i, ni, near, {moved('bi', 'ge', 'ni')}, {', '.join(moved(f'q{k}', f'g{k}', 'ni') for k in each)}, {ys} from (select c.*, {stepped('ni + curve')}, ge, {cols('g{k}')} from c{t} c join (select i, sum(e) as ge, sum({square('p{k} + z{k}')}) as curve, {cols('sum(e * (p{k} + z{k})) as g{k}')} from {errors(f'a{t + 1}', f'c{t}', f'z{t + 1}')} group by i) using (i)))",
+        ]
+    return f"with {', '.join(parts)} select u as id, 'user' as kind, round(bu, 7) as bias, round(p0, 7) as first from a{epochs} union all select i, 'item', round(bi, 7), round(q0, 7) from b{epochs}"
+
+
+@query("svd_plus_plus", _svd_sql(), "rates")
 def svd_plus_plus(spark, d):
-    return lg.svd_plus_plus(directed("rates", spark, d), rank=4, epochs=2, strategy="distributed").factors.select(ID, "kind", "bias")
+    return lg.svd_plus_plus(directed("rates", spark, d), rank=4).factors.select(ID, "kind", F.round("bias", 7).alias("bias"), F.round(F.col("factor")[0], 7).alias("first"))
+
+
+@query("svd_plus_plus_distributed", _svd_sql(epochs=2), "rates")
+def svd_plus_plus_distributed(spark, d):
+    """Two epochs, as each takes several jobs; the loop is the same for any number."""
+    return lg.svd_plus_plus(directed("rates", spark, d), rank=4, epochs=2, strategy="distributed").factors.select(ID, "kind", F.round("bias", 7).alias("bias"), F.round(F.col("factor")[0], 7).alias("first"))
 
 
 # Motifs
@@ -452,10 +503,9 @@ def find_triangle(spark, d):
     return g.find("(a)-[]->(b); (b)-[]->(c); (c)-[]->(a)").select(*[F.col(f"{n}.id").alias(n) for n in "abc"])
 
 
-@query("find_disconnected", "select r_regionkey::bigint as a, x.src as b, x.dst as c from region, (select * from g where type = 'region_nation') x", "tree")
+@query("find_disconnected", "select v.id as a, g.src as b, g.dst as c from v, g", "nations")
 def find_disconnected(spark, d):
-    g = directed("tree", spark, d).filter_edges("type = 'region_nation'").drop_isolated_vertices()
-    found = g.find("(a); (b)-[]->(c)").where("a.id < 100")
+    found = directed("nations", spark, d).find("(a); (b)-[]->(c)")
     return found.select(*[F.col(f"{n}.id").alias(n) for n in "abc"])
 
 
@@ -495,3 +545,47 @@ def read_table(spark, d):
     from loomgraph.sources.tables import read_table as read
 
     return read(spark, f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("write_table", "select src, dst, type from g", "next")
+def write_table(spark, d):
+    from loomgraph.sources.tables import read_table as read
+    from loomgraph.sources.tables import write_table as write
+
+    path = f"{Store(spark).path}/edges"
+    write(edges_of("next", spark, d), path, partition_by=["type"])
+    return read(spark, path).select(SRC, DST, "type")
+
+
+@query("read_edge_list", "select src, dst from g", "next")
+def read_edge_list(spark, d):
+    from loomgraph.sources.tables import read_edge_list as read
+
+    path = f"{Store(spark).path}/edges"
+    lines = edges_of("next", spark, d).select(F.concat_ws("\t", SRC, DST).alias("value"))
+    lines.union(spark.createDataFrame([("# a comment",), ("",)], "value string")).write.option("compression", "gzip").text(path)
+    return read(spark, path)
+
+
+@query("read_catalog", "select src, dst, type from g", "nations")
+def read_catalog(spark, d):
+    from loomgraph.sources.tables import read_catalog as read
+
+    edges_of("nations", spark, d).createOrReplaceTempView("loomgraph_nations")
+    return read(spark, "loomgraph_nations")
+
+
+@query("validated_graph", "select src, dst, type from g", "tree")
+def validated_graph(spark, d):
+    g = directed("tree", spark, d)
+    return lg.DirectedGraph(lg.validate_edges(g.edges), g.vertices, validate=True).edges
+
+
+@query("is_directed", "select true as directed, false as undirected")
+def is_directed(spark, d):
+    return frame(spark, {"directed": [directed("nations", spark, d).is_directed], "undirected": [undirected("nations", spark, d).is_directed]})
+
+
+@query("connected_components_auto", rounds(*_LEAST, 10, "select * from {t}"), "chain")
+def connected_components_auto(spark, d):
+    return lg.connected_components(undirected("chain", spark, d))

@@ -30,9 +30,9 @@ def test_star_steps(spark):
 
 
 @pytest.mark.parametrize("strategy", ["distributed", "local"])
-@pytest.mark.parametrize("seed", [0, 1])
-def test_strong_components_of_random_graphs(spark, strategy, seed):
-    e = random_digraph(seed, 12, 20)
+@pytest.mark.parametrize("seed,n", [(0, 20), (1, 14), (2, 26)])
+def test_strong_components_of_random_graphs(spark, strategy, seed, n):
+    e = random_digraph(seed, 12, n)
     g = directed(spark, e, range(14))
     assert dict(pairs_of(lg.strongly_connected_components(g, strategy=strategy), "id", "component")) == strong(e, range(14))
 
@@ -59,6 +59,41 @@ def test_reusing_a_folder(spark, tmp_path):
     assert pairs_of(second, "id", "component") == {(8, 8), (9, 8), (10, 8)}
 
 
-def test_cap_warns(spark):
-    with pytest.warns(UserWarning):
-        lg.connected_components(undirected(spark, [(k, k + 1) for k in range(40)]), strategy="distributed", max_iters=1)
+def test_the_round_cap_does_not_change_labels(spark):
+    e = [(k, k + 1) for k in range(40)] + [(50, 60), (60, 55)]
+    got = lg.connected_components(undirected(spark, e), strategy="distributed", max_iters=1)
+    assert dict(pairs_of(got, "id", "component")) == weak(e, {v for p in e for v in p})
+
+
+def cycle(n, seed):
+    """A cycle whose ids stand in no order."""
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    return [(order[k], order[(k + 1) % n]) for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [130, 1000])
+def test_long_cycles(spark, n):
+    g = directed(spark, cycle(n, n) + [(5, 2000), (2000, 2001), (3000, 7), *[(4000 + k, 4001 + k) for k in range(300)]])
+    far, near = (dict(pairs_of(lg.strongly_connected_components(g, strategy=s), "id", "component")) for s in ("distributed", "local"))
+    assert far == near and [v for v in range(n) if far[v]] == []
+
+
+def test_chains_between_components(spark):
+    """Chains within a component, between two, from a vertex back to it, and chains that only show once others are gone."""
+    ring = lambda first, n: [(first + k, first + (k + 1) % n) for k in range(n)]
+    e = ring(0, 5) + [(0, 2), (3, 1)] + ring(10, 6) + [(10, 13)] + [(4, 20), (20, 21), (21, 12)]
+    e += [(30, 31), (31, 32), (32, 30), (30, 33), (33, 34), (34, 30)]  # two chains at one vertex
+    e += [(40, 41), (41, 43), (40, 42), (42, 43), (43, 44), (44, 40)]  # two chains with the same ends
+    e += ring(50, 4) + [(60, 50), (53, 61), (61, 62)]
+    g = directed(spark, e)
+    want = strong(e, {v for p in e for v in p})
+    assert dict(pairs_of(lg.strongly_connected_components(g, strategy="distributed"), "id", "component")) == want
+
+
+def test_too_many_phases_are_an_error(spark):
+    e = random_digraph(3, 12, 40)
+    with pytest.raises(RuntimeError):
+        lg.strongly_connected_components(directed(spark, e), strategy="distributed", max_iters=0)
+    with pytest.raises(ValueError, match="materialize_every"):
+        lg.strongly_connected_components(directed(spark, e), materialize_every=2)

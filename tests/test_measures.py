@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import loomgraph as lg
-from loomgraph.operators import community
+from loomgraph.operators import community, structure
+from loomgraph.plans import store
 from tests.helpers import adjacency, cores, directed, edges, hops, pagerank, pairs_of, random_digraph, triangles, undirected
 
 TRIANGLES = [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4)]
@@ -61,7 +62,7 @@ def test_power_iteration_clustering(spark):
 
 
 def plain_kmeans(values, k, rounds=50):
-    """Clusters of the distinct values, by the rule of the reference."""
+    """Clusters of the distinct values, each by its nearest centre."""
     points = sorted(set(values))
     centres = [points[round(i * (len(points) - 1) / (k - 1))] for i in range(k)]
     assigned = None
@@ -141,14 +142,20 @@ def ratings(spark):
     return lg.DirectedGraph(edges(spark, rows, ["rating double"]))
 
 
-@pytest.mark.parametrize("strategy", ["local", "distributed"])
-def test_svd_plus_plus(spark, strategy):
+def test_svd_plus_plus(spark):
     g = ratings(spark)
-    n = (2, 60) if strategy == "local" else (1, 6)
-    few, many = (lg.svd_plus_plus(g, rank=4, epochs=k, learning_rate=0.02 if strategy == "local" else 0.1, strategy=strategy) for k in n)
-    assert many.rmse < few.rmse and (strategy != "local" or many.rmse < 0.3) and abs(few.global_mean - 3.3) < 0.5
+    few, many = (lg.svd_plus_plus(g, rank=4, epochs=k, learning_rate=0.1) for k in (1, 60))
+    assert many.rmse < 0.25 < few.rmse and abs(few.global_mean - 3.3) < 0.5
     assert pairs_of(many.factors, "kind") == {("user",), ("item",)} and many.factors.count() == 21
-    assert lg.svd_plus_plus(g, rank=4, epochs=n[0], learning_rate=0.02 if strategy == "local" else 0.1, strategy=strategy).rmse == pytest.approx(few.rmse)
+    assert lg.svd_plus_plus(g, rank=4, epochs=1, learning_rate=0.1).rmse == pytest.approx(few.rmse)
+
+
+def test_svd_plus_plus_is_the_same_on_both_sides_of_the_threshold(spark):
+    g = lg.DirectedGraph(ratings(spark).edges.union(ratings(spark).edges.limit(7)))
+    near, far = (lg.svd_plus_plus(g, rank=3, epochs=3, learning_rate=0.05, seed=4, local_threshold=n) for n in (1000, 10))
+    assert near.rmse == pytest.approx(far.rmse, abs=1e-12)
+    a, b = ({(r.id, r.kind): [r.bias, *r.factor] for r in x.factors.collect()} for x in (near, far))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
 
 
 def test_svd_plus_plus_without_ratings(spark):
@@ -156,11 +163,49 @@ def test_svd_plus_plus_without_ratings(spark):
     assert (got.rmse, got.global_mean, got.factors.count()) == (0.0, 0.0, 0)
 
 
+def test_hubs_are_split(spark, monkeypatch):
+    """Keys of more rows than HUB are dealt to several partitions, and every loop gives what it gives without."""
+    monkeypatch.setattr(store, "HUB", 6)
+    e = random_digraph(8, 12, 34) + [(0, v) for v in range(3, 30)] + [(v, 0) for v in range(20, 30)]
+    g, u = directed(spark, e, range(31)), undirected(spark, e, range(31))
+    dealt = store.Store(spark).resident(g.edges, "src")
+    assert dealt.hubs is not None and dealt.meets(spark.range(31).toDF("src")).count() == len(e)
+    assert dealt.rows.where("src = 0").select("__salt").distinct().count() > 2
+    got, want = dict(pairs_of(lg.pagerank(g, tol=1e-9), "id", "rank")), pagerank(e, range(31))
+    assert all(abs(got[v] - want[v]) < 1e-6 for v in want)
+    assert dict(pairs_of(lg.k_core(u), "id", "core")) == cores(e, range(31))
+    adj = adjacency(e)
+    assert pairs_of(lg.shortest_paths(g, [0, 5]), "id", "landmark", "distance") == {(v, w, d) for v in range(31) for w, d in hops(adj, v).items() if w in (0, 5)}
+    plain = [f() for f in (lambda: lg.label_propagation(u), lambda: lg.hyper_anf(g, max_hops=2, precision=6), lambda: lg.power_iteration_clustering(u, 3))]
+    rows = [sorted(map(tuple, df.collect())) for df in plain]
+    monkeypatch.setattr(store, "HUB", 10**6)
+    again = [f() for f in (lambda: lg.label_propagation(u), lambda: lg.hyper_anf(g, max_hops=2, precision=6), lambda: lg.power_iteration_clustering(u, 3))]
+    assert rows == [sorted(map(tuple, df.collect())) for df in again]
+
+
+def test_many_walks_and_no_rounds(spark):
+    e = random_digraph(6, 8, 16)
+    got = lg.parallel_personalized_pagerank(directed(spark, e, range(8)), range(7), tol=1e-9).collect()
+    for s in range(7):
+        want = pagerank(e, range(8), seeds=[s])
+        assert all(abs(r["rank"] - want[r.id]) < 1e-6 for r in got if r.source == s)
+    with pytest.raises(ValueError, match="materialize_every"):
+        lg.pagerank(directed(spark, e), materialize_every=3)
+
+
+def test_sparse_rounds_of_cores(spark, monkeypatch):
+    """A long path loses its estimates from the ends, a vertex at a time."""
+    monkeypatch.setattr(structure, "SPARSE", 2)
+    e = [(k, k + 1) for k in range(24)] + [(100, 101), (101, 102), (100, 102), (24, 100)]
+    assert dict(pairs_of(lg.k_core(undirected(spark, e)), "id", "core")) == cores(e, {v for p in e for v in p})
+
+
 def test_messages(spark):
     e = edges(spark, [(0, 1), (1, 2)])
     state = spark.createDataFrame([(0, 10), (1, 20), (2, 30)], "id long, value long")
     both = lg.aggregate_messages(e, state, to_dst=F.col("src_value"), to_src=F.col("dst_value"))
     assert pairs_of(both, "id", "msg") == {(0, 20), (1, 40), (2, 20)}
+    assert pairs_of(lg.aggregate_messages(e, state, to_dst=F.col("src_value"), to_src=F.lit(None)), "id", "msg") == {(0, None), (1, 10), (2, 20)}
     with pytest.raises(ValueError):
         lg.aggregate_messages(e, state)
     with pytest.raises(ValueError, match="src_"):

@@ -14,7 +14,8 @@ CHOSEN = (
     "graph_counts", "graph_rename", "graph_vertices", "degrees", "out_degrees", "in_degrees", "degree_by_type", "triplets", "filter_vertices", "filter_edges",
     "drop_isolated_vertices", "reverse", "as_undirected", "as_directed", "to_edges", "drop_self_loops", "dedupe_edges", "canonicalize", "symmetrize",
     "aggregate_messages", "large_star", "small_star", "connected_components_chain", "label_propagation", "triangle_count", "all_paths", "find_one_way",
-    "find_path", "find_triangle", "find_disconnected", "reindex", "reindex_mapping", "read_table",
+    "find_path", "find_triangle", "find_disconnected", "reindex", "reindex_mapping", "read_table", "write_table", "read_edge_list", "read_catalog",
+    "validated_graph", "is_directed", "svd_plus_plus", "svd_plus_plus_distributed", "random_walks", "hyper_anf",
 )
 
 

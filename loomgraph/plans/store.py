@@ -50,7 +50,12 @@ class Resident(NamedTuple):
 
 
 class Store:
-    """A run's tables. Those written into the caller's own folder stay; others go when the JVM ends."""
+    """A run's tables. Those written into the caller's own folder stay; others go when the JVM ends.
+
+    `tables` counts all that this process has written, for benchmarks.
+    """
+
+    tables = 0
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
@@ -67,6 +72,7 @@ class Store:
     def keep(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """Writes df and returns it as read back. `partitions` bounds the files of a table known to be small."""
         self._written += 1
+        Store.tables += 1
         path = f"{self.path}/t{self._written}"
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

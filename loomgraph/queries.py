@@ -314,12 +314,12 @@ def _rank_sql(start: str, n: int, extra: str = "") -> str:
     return "with o as (select src, count(*) as n from e group by src), c as (select count(*) as n from v), " + body[len("with ") :]
 
 
-@query("pagerank", _rank_sql("select id, 1.0::double / c.n as restart, 1.0::double / c.n as rank, null::double as before from v, c", 30), "chain")
+@query("pagerank", _rank_sql("select id, 1.0::double / c.n as restart, 1.0::double / c.n as rank, null::double as before from v, c", 60), "chain")
 def pagerank(spark, d):
     return lg.pagerank(directed("chain", spark, d)).select(ID, F.round("rank", 9).alias("rank"))
 
 
-@query("pagerank_personalized", _rank_sql("select id, case when id in (1, 3) then 0.5::double else 0.0::double end as restart, 1.0::double / c.n as rank, null::double as before from v, c", 30), "tree")
+@query("pagerank_personalized", _rank_sql("select id, case when id in (1, 3) then 0.5::double else 0.0::double end as restart, 1.0::double / c.n as rank, null::double as before from v, c", 60), "tree")
 def pagerank_personalized(spark, d):
     return lg.pagerank(directed("tree", spark, d), source_ids=[1, 3, -7]).select(ID, F.round("rank", 9).alias("rank"))
 

@@ -1,46 +1,66 @@
-"""What the operators share: the shared scratch folder, distributed ranks, hashed words."""
+"""What the operators share: scratch tables, the workers' large objects, distributed ranks, hashed words."""
 
 from __future__ import annotations
 
-import getpass
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.edges import name as column
+from loomgraph.plans.store import shared_folder
+
 #: White space of every operator here: the bytes 0x20 and 0x09 to 0x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: Rows of an Arrow batch; texts can be long, so a batch stays far below Spark's default of 10,000 rows.
-BATCH_ROWS = 512
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Unset, it is a temporary folder if the master is local, and an error on a cluster.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}/loomgraph-{getpass.getuser()}"
-    return root.rstrip("/")
+#: Rows and bytes of an Arrow batch: texts can be long, and a worker's memory follows its batches.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker's memory does not follow the longest texts times 10,000; and the place
-    of this package on the workers' path, for sessions that were started somewhere else."""
+    """Small Arrow batches, by rows and by bytes; and the place of this package on the workers' path, for sessions that
+    were started somewhere else."""
     path = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     root = str(Path(__file__).resolve().parents[2])
     if root not in path:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, path)])
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    rows, size = (f"spark.sql.execution.arrow.{key}" for key in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+_HELD: dict[str, object] = {}
+
+
+def held_in_worker(key: str, make: Callable[[], object]):
+    """A Python worker's large object (an automaton, an index, a vocabulary), made once for all tasks that it serves.
+
+    Workers are used again by later stages, so they hold one such object: another key's goes first.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes the tables of every Scratch made inside when it is left; what is read from them must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for scratch in _SCOPES.pop():
+            scratch.delete()
 
 
 class Scratch:
@@ -48,21 +68,42 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-        self._delete = []
+        self.path = f"{shared_folder(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(path)
         self._fs.deleteOnExit(path)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """df as read back. `files` deals a table of known, small size to so many files, whatever made it."""
+        (df.repartition(files) if files else df).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def counted(self, df: DataFrame, name: str, files: int | None = None, **metrics: Column) -> tuple:
+        """(save(), the number of rows, the metrics), observed while they are written."""
+        seen = Observation()
+        kept = self.save(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]), name, files)
+        return kept, seen.get["rows"], *[seen.get[k] for k in metrics]
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
+    def delete(self) -> None:
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none clashes with an operator's own."""
+    return F.struct(*[column(c) for c in df.columns])
+
+
+def from_row(row: str, columns: Sequence[str]) -> list[Column]:
+    """The columns of a whole_row()."""
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
 
 def blocks_for(rows: int, each: int = 20_000) -> int:
     return max(1, -(-rows // each))
@@ -99,8 +140,10 @@ _POWERS: dict[str, np.ndarray] = {"of": np.ones(1, np.uint64), "inverse": np.one
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > _SEGMENT + 4096:  # a word of a megabyte; not worth keeping
+        return _powers(int(_BASE), n), _powers(pow(int(_BASE), -1, 1 << 64), n)
     if len(_POWERS["of"]) < n:
-        size = max(n, _SEGMENT + 4096)
+        size = _SEGMENT + 4096
         _POWERS["of"], _POWERS["inverse"] = _powers(int(_BASE), size), _powers(pow(int(_BASE), -1, 1 << 64), size)
     return _POWERS["of"], _POWERS["inverse"]
 

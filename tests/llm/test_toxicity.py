@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -33,11 +34,11 @@ def brute(word):
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["idiot", "idioot", "idit", "worthlss", "wortless", "scum", "sum", "achlichen", "aclich", "boco", "bocooo", "idea", "x"]) | st.text("abcdehilostwz", min_size=1, max_size=12), min_size=1, max_size=8))
 def test_automaton_is_edit_distance(words):
-    automaton = t.Automaton(TERMS)
-    text = " ".join(words)
-    classes = t.folded(text)
-    starts, ends = t.words_of(classes)
-    assert all(g in brute(w) for g, w in zip(automaton.walk(classes, starts, ends), words))
+    points = t.folded(" ".join(words))
+    starts, ends = t.words_of(points)
+    for automaton in (t.Automaton(TERMS), t.Automaton(TERMS, cells=1)):  # the second one's table is full all the time
+        assert all(g in brute(w) for g, w in zip(automaton.walk(automaton.classes(points), starts, ends), words))
+        assert len(automaton.sets) <= 64 or automaton.most_states > 64
 
 
 def test_quotation_counts_less_than_abuse():
@@ -93,3 +94,98 @@ def test_without_labels_of_both_classes(spark, labels):
     got = {r.doc_id: r.predicted for r in t.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got == {1: 0, 2: 1}
     assert t.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() == []
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.range(20_000).selectExpr("1L as doc_id", "concat('word ', id) as text").union(spark.range(2, 400).selectExpr("id", "repeat('calm ', 100)"))
+    labels = spark.range(1, 400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    sample, rate = t.labelled_sample(docs, labels, each=50)
+    assert [r[1] for r in sample.groupBy("y").count().collect()] == [50, 50] and 0.4 < rate < 0.6
+    assert [r.text for r in t.labelled_sample(docs.where("doc_id = 1"), labels)[0].collect()] == ["word 0"]
+    few, _ = t.labelled_sample(docs, labels, class_bytes=2000)
+    assert [r[1] for r in few.selectExpr("y", "length(text) as n").groupBy("y").sum("n").select("y", "sum(n)").collect()] == [2000, 2000]
+    assert all(len(r.text) < 500 for r in t.labelled_sample(docs, labels, text_bytes=499)[0].collect())
+
+
+def test_without_a_signal_scores_are_the_label_rate(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("ra lo mi te su ner kal".split()) for _ in range(60))) for i in range(600)]
+    for share in (10, 2):
+        marks = spark.createDataFrame([(i, int(i % share == 0)) for i in range(600)], "doc_id long, toxic int")
+        sample, rate = t.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), marks, each=50)
+        got = sample.collect()
+        scores = t.fit([x.text for x in got], [x.y for x in got], rate)
+        got = scores.score(t.features([x for _, x in rows], scores.terms, t.Automaton(scores.terms)))
+        assert abs(got.mean() - 1 / share) < 0.05 and ((got >= t.PREDICT).mean() < 0.05) == (share == 10)
+
+
+@pytest.mark.parametrize("calm,bad,wrong", [("мир дом река небо город утро".split(), "негодяй", "негодай"), ("بيت نهر سماء مدينة صباح سلام".split(), "حقيرجدا", "حقيرجد"), (list("山川草木天地人"), "混蛋", None)])
+def test_any_script(spark, calm, bad, wrong):
+    r, rows, marks = random.Random(5), [], []
+    between = "" if len(calm[0]) == 1 else " "
+    for i in range(600):
+        words = [r.choice(calm) for _ in range(40)]
+        if i % 4 == 0:
+            words[r.randrange(40)] = bad
+        rows.append((i, between.join(words)))
+        marks.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame([*rows, (9000, between.join([*calm * 6, wrong or bad, *calm]))], "doc_id long, text string")
+    got = {g.doc_id: g for g in t.toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert all(got[i].predicted == y for i, y in marks) and got[9000].predicted == int(wrong is None or got[9000].score >= t.PREDICT)
+    model = t.fit([x for _, x in rows], [y for _, y in marks])
+    assert bad in {x.text for x in model.terms}
+
+
+def test_more_than_200_terms_and_long_ones():
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bad = ["".join(r.choice(letters) for _ in range(9)) for _ in range(230)] + ["z" + "".join(r.choice(letters) for _ in range(k)) for k in (40, 90)]
+    calm = lambda: [f"{a}{b}" for a in r.sample(["ca", "da", "tre", "wa"], 4) for b in r.sample(["lm", "y", "e", "ter", "nd", "sk"], 5)]
+    texts = [" ".join([*calm(), w, *calm(), w]) for w in bad for _ in range(8)]
+    model = t.fit([*texts, *[" ".join(calm()) for _ in texts]], [1] * len(texts) + [0] * len(texts))
+    learned = {x.text for x in model.terms}
+    assert len(learned) > 220 and all(any(w[:k] in learned for k in range(3, len(w) + 1)) for w in bad)
+
+
+def test_copies_of_a_document_make_no_term():
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(7))
+    one = [word() for _ in range(80)]
+    texts = [" ".join([*one[: r.randrange(79)], word(), *one]) for _ in range(60)] + [" ".join(word() for _ in range(80)) for _ in range(200)]
+    assert {x.text for x in t.fit(texts, [1] * 60 + [0] * 200).terms} <= set(t.GENERAL)
+
+
+def plain_score(model, text):
+    """The score by definition: edit distances of every word to every term."""
+    words, spans, at = [], [], 0
+    for w in t.fold(text).split(" "):
+        if w:
+            words.append(w)
+            spans.append((at, at + len(w)))
+        at += len(w) + 1
+    weight = said = 0.0
+    for i, w in enumerate(words):
+        best = []
+        for k, term in enumerate(model.terms):
+            edits = min(distance(term.text, w[:e]) for e in (range(len(w) + 1) if term.stem else [len(w)]))
+            if edits <= term.edits:
+                best.append((edits, -(term.fuzzy if edits else term.exact), k))
+        if best:
+            edits, minus, _ = min(best)
+            left, right = max(0, spans[max(0, i - t.CONTEXT)][0] - 2), spans[min(len(spans) - 1, i + t.CONTEXT)][1] + 2
+            part = t.CITED if t.cited(text, *spans[i], left, min(len(text), right)) else 1.0
+            weight, said = weight - minus * part, said + part
+    n = len(words)
+    x = [math.log1p(weight), math.log1p(100 * weight / max(n, 20)), said / math.sqrt(1 + n / 1000), math.log1p(said), float(said > 0), math.log1p(n)]
+    z = sum(c * (v - m) / s for c, v, m, s in zip(model.coefficients[1:], x, model.centre, model.scale)) + model.coefficients[0]
+    return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+
+def test_scores_equal_the_plain_ones(spark):
+    rows, labels = corpus(240)
+    r = random.Random(2)
+    rows = [(i, x if r.random() < 0.5 else f'he said "{x[:80]}" {x[80:]}') for i, x in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = t.train(docs, marks)
+    got = {g.doc_id: g.score for g in t.toxicity(docs, marks).collect()}
+    assert all(abs(got[i] - plain_score(model, x)) < 1e-9 for i, x in rows[:80])

@@ -12,21 +12,21 @@ making every other value an outlier. Groups of fewer than LEAST rows use their l
 That one is fitted from FEWEST rows on; fewer rows than twice the dimensions have no model, which keeps what passes the
 base rules.
 
-Null and empty texts have no words and fail the base rules. A null language or source is a value like any other.
+Null and empty texts have no words and fail the base rules. A null language or source is a value like any other. Rows
+that repeat are counted and judged one by one, and each counts in the estimates.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, encoded, prepare
+from loomgraph.llm.common import Scratch, blocks_for, column, encoded, folding, from_row, prepare, whole_row, windows, word_hashes
 
 #: Share of a group's rows in the core, concentration steps, rows of a group with a model of its own.
 CORE, STEPS, LEAST = 0.75, 8, 50
@@ -37,33 +37,44 @@ FLOOR = (0.35, 0.08, 0.45, 0.6, 0.6)
 P = len(FLOOR)
 #: Rows for a model of all rows.
 FEWEST = 2 * P
+#: Vectors to a file.
+VECTORS = 50_000
 _SYMBOLS, _SPACES = b"#*$%&|<>", b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """(words, characters in words, symbols, repeated lines, words in repeated windows) of a whole text."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    raw = encoded([text])[0]
-    words = raw.split()
-    spaces = len(raw) - len(raw.translate(None, _SPACES))
-    symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    three = list(zip(words, words[1:], words[2:]))
-    repeated = 0
-    if len(set(three)) < len(three):
-        count, covered = Counter(three), 0
-        for i, x in enumerate(three):
-            if count[x] > 1:
-                repeated += i + 3 - max(i, covered)
-                covered = i + 3
-    return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def base_counts(texts: Sequence[str | None]) -> list[tuple[int, int, int, int, int]]:
+    """(words, characters in words, symbols, repeated lines, words in repeated windows) of whole texts."""
+    raw = encoded(texts)
+    hashes, at = word_hashes(raw, *folding(lower=False))
+    out = []
+    for k, data in enumerate(raw):
+        if not data:
+            out.append((0, 0, 0, 0, 0))
+            continue
+        own = hashes[at[k] : at[k + 1]]
+        spaces, symbols = (len(data) - len(data.translate(None, x)) for x in (_SPACES, _SYMBOLS))
+        lines = [x for x in data.split(b"\n") if x and not x.isspace()]
+        three = windows(own, 3)
+        repeated = 0
+        if len(three) > 1:
+            order = np.sort(three)
+            if (again := order[1:][order[1:] == order[:-1]]).size:
+                several = np.isin(three, again)
+                covered = np.zeros(len(own), bool)
+                for j in range(3):
+                    covered[j : j + len(three)] |= several
+                repeated = int(covered.sum())
+        out.append((len(own), len(texts[k]) - spaces, symbols, len(lines) - len(set(lines)), repeated))
+    return out
 
 
 def _counter():
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
     def counts(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([base_counts(x) for x in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
+        return pd.DataFrame(base_counts([t if isinstance(t, str) else None for t in texts]), columns=COUNTS, dtype="int64")
 
     return counts
 
@@ -137,6 +148,7 @@ def fit(statistics: DataFrame, scratch: Scratch) -> DataFrame:
     x = [F.col("x")[i] for i in range(P)]
     middle = rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("rows"), *[F.percentile_approx(x[i], 0.5, 1000).alias(f"m{i}") for i in range(P)], *[F.avg(x[i]).alias(f"a{i}") for i in range(P)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in _UPPER]).where(F.col("rows") >= F.when(F.col("level") == 2, FEWEST).otherwise(LEAST))
     middle = scratch.save(middle, "middle")
+    files = blocks_for(middle.count())
 
     def joined(b: DataFrame) -> DataFrame:
         return rows.join(b, (rows.level == b.b_level) & rows.g_lang.eqNullSafe(b.b_lang) & rows.g_source.eqNullSafe(b.b_source))
@@ -160,15 +172,16 @@ def fit(statistics: DataFrame, scratch: Scratch) -> DataFrame:
                 out += [(*key, 0, r["rows"], *robust), (*key, 1, r["rows"], *plain)]
             yield pd.DataFrame(out, columns=[*_KEYS, "start", "rows", "mean", "precision", "logdet"])
 
-    models = scratch.save(both.mapInPandas(starts, _MODEL), "models-0")
+    models = scratch.save(both.mapInPandas(starts, _MODEL), "models-0", files)
     for k in range(1, STEPS + 1):
         m = renamed(models.drop("rows", "logdet"))
         d = squared_distance(x, F.col("mean"), F.col("precision"))
         binned = joined(m).select(*_KEYS, "start", "x", F.least(F.lit(1024), F.floor(32 * F.log2(1 + 64 * F.greatest(d, F.lit(0.0))))).cast("int").alias("bin"))
         bins = binned.groupBy(*_KEYS, "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _UPPER])
-        models = scratch.save(bins.groupBy(*_KEYS, "start").applyInPandas(_concentrate, _MODEL), f"models-{k}")
+        models = scratch.save(bins.groupBy(*_KEYS, "start").applyInPandas(_concentrate, _MODEL), f"models-{k}", files)
         scratch.drop(f"models-{k - 1}")
-    return models.groupBy(*_KEYS).agg(F.min_by(F.struct("rows", "mean", "precision"), F.struct("logdet", "start")).alias("m")).select(*_KEYS, "m.*")
+    best = models.groupBy(*_KEYS).agg(F.min_by(F.struct("rows", "mean", "precision"), F.struct("logdet", "start")).alias("m")).select(*_KEYS, "m.*")
+    return scratch.save(best, "fitted", files)
 
 
 def judged(rows: DataFrame, models: DataFrame, s: Column) -> DataFrame:
@@ -192,28 +205,30 @@ def judged(rows: DataFrame, models: DataFrame, s: Column) -> DataFrame:
     return out.drop(*[f"__{c}{level}" for level in (0, 1, 2) for c in "lsm"])
 
 
-def _statistics(docs: DataFrame, text_col: str, lang_col: str, source_col: str, *more: Column) -> DataFrame:
-    return docs.select(*more, F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), _counter()(F.col(text_col).cast("string")).alias("s"))
+def _fitted(table: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """Models of a table with lang, source and s. The steps read the vectors alone, in as few files as these need."""
+    vectors = table.where(~base_failed(F.col("s"))).select("lang", "source", F.array(*vector(F.col("s"))).alias("x"))
+    return fit(scratch.save(vectors, "vectors", blocks_for(rows, VECTORS)), scratch)
 
 
-def _fitted(table: DataFrame, scratch: Scratch) -> DataFrame:
-    fitted = table.where(~base_failed(F.col("s"))).select("lang", "source", F.array(*vector(F.col("s"))).alias("x"))
-    return scratch.save(fit(scratch.save(fitted, "vectors"), scratch), "fitted")
+def _counted(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, source_col: str, **more: Column) -> tuple[DataFrame, int]:
+    """[*more, lang, source, s], written, as texts are counted once; and the number of rows."""
+    kinds = [column(c).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
+    return scratch.counted(docs.select(*[c.alias(n) for n, c in more.items()], *kinds, _counter()(column(text_col).cast("string")).alias("s")), "counted")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """[id_col, five counts, base_failed, kept, distance]: one row per row of docs."""
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
-    table = scratch.save(_statistics(docs, text_col, lang_col, source_col, F.col(id_col).alias("__id")), "statistics")
-    out = judged(table, _fitted(table, scratch), F.col("s"))
-    return out.select(F.col("__id").alias(id_col), "s.*", F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__distance").alias("distance"))
+    table, rows = _counted(docs, scratch, text_col, lang_col, source_col, __id=column(id_col))
+    out = judged(table, _fitted(table, rows, scratch), F.col("s"))
+    return out.select(F.col("__id").alias(id_col), *[F.col("s")[c].alias(c) for c in COUNTS], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__distance").alias("distance"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that are kept, with their columns; texts are not shuffled."""
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
-    models = _fitted(scratch.save(_statistics(docs, text_col, lang_col, source_col), "statistics"), scratch)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), _counter()(F.col(text_col).cast("string")).alias("s"))
-    return judged(rows, models, F.col("s")).where("__kept").select("__row.*")
+    table, rows = _counted(docs, scratch, text_col, lang_col, source_col, __row=whole_row(docs))
+    return judged(table, _fitted(table, rows, scratch), F.col("s")).where("__kept").select(*from_row("__row", docs.columns))

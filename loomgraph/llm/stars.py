@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import Scratch, blocks_for
@@ -28,31 +28,30 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 def _sized(edges: DataFrame, rows: int) -> DataFrame:
     """As many partitions as the edges need: rounds are many and mostly small."""
-    return edges.coalesce(blocks_for(rows, 200_000))
+    return edges.coalesce(blocks_for(rows, 100_000))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 31)))).first())
+def _saved(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, dict]:
+    """The edges as written, with their number and two sums of hashes that are observed on the way."""
+    seen = Observation()
+    marks = F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("hi", "lo")).alias("mark"), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 31))).alias("sum")
+    return scratch.save(edges.observe(seen, *marks), name), seen.get
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "stars", max_rounds: int = 100) -> DataFrame:
     """(id, component) for every node of the edges (a, b); component is its least reachable node.
 
-    Every round is written to the shared folder. Edges of null ends and loops are left out. No edges give no rows.
+    Every round is one job, written to the shared folder. Edges of null ends and loops are left out. No edges give no rows.
     """
-    now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    now, mark = scratch.save(now, f"{name}-0"), None
-    rows = now.count()
-    if rows == 0:
+    now, seen = _saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), scratch, f"{name}-0")
+    if not seen["rows"]:
         return now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     for k in range(1, max_rounds + 1):
-        after = scratch.save(_sized(small_star(large_star(_sized(now, rows))), rows), f"{name}-{k}")
-        seen = _mark(after)
+        before, rows = seen, seen["rows"]
+        now, seen = _saved(_sized(small_star(large_star(_sized(now, rows))), rows), scratch, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
-        now, rows = after, seen[0]
-        if seen == mark:
+        if seen == before:
             break
-        mark = seen
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())

@@ -2,8 +2,8 @@
 
 Every stage works on all that its predecessor kept and writes its result; the last one returns token ids. Null and
 empty texts are kept by the toxicity stage (a text without words scores low) and go with the quality rules, which want
-50 words. Rows that repeat a doc_id stay or go together in the near-duplicates stage. Columns besides those of
-documents are passed through by all stages but the last.
+50 words. Rows that repeat a doc_id are judged each by its own text, and of equal rows one stays. Columns besides those
+of documents are passed through by all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import Scratch, released
 from loomgraph.llm.decontaminate import drop_contaminated
-from loomgraph.llm.neardup import near_duplicates
+from loomgraph.llm.neardup import drop_near_duplicates
 from loomgraph.llm.pieces import encode_documents
 from loomgraph.llm.quality import keep_good
 from loomgraph.llm.toxicity import drop_toxic
@@ -32,9 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the least doc_id stays."""
-    copies = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the row with the least doc_id stays."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +58,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    What a stage has read, and what it wrote on the way, is deleted when its result is written.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        with released():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.drop(f"stage-{k - 1}")
     return docs

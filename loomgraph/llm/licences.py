@@ -16,6 +16,9 @@ A licence file (by name, or because its notice makes up WHOLE of its words) spea
 Distinct directories are joined with their ancestors' licences, the nearest ancestor wins, and files without a licence
 of their own take their directory's. Of several licence files in a directory the greatest score wins, then the name.
 
+Directories with a licence above them are broadcast while they are at most DIRECTORIES; beyond that, files are joined
+with them by directory, and adaptive execution splits those that hold many files.
+
 Null and empty texts have no licence of their own. A null path inherits nothing. Rows that repeat are scored alike.
 """
 
@@ -37,6 +40,8 @@ from loomgraph.llm.common import Scratch, prepare
 LEAST, SEGMENT, WHOLE = 0.6, 64, 0.5
 #: Cosines are compared at DIGITS digits; words that a worker counts before it passes them on.
 DIGITS, CLOSE, COUNTED = 9, 1e-8, 200_000
+#: Rows of the directories' table up to which it is broadcast (some hundred bytes each).
+DIRECTORIES = 50_000
 #: Names of licence files, without regard to case.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|copyright)([.-].*)?$"
 
@@ -264,7 +269,7 @@ def _directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
-def inherit(found: DataFrame) -> DataFrame:
+def inherit(found: DataFrame, scratch: Scratch) -> DataFrame:
     """found (path, licence, score, speaks) with the licence of each path's nearest ancestor directory: dir_licence, licence_dir."""
     placed = found.withColumn("dir", _directory(F.col("path")))
     speaking = placed.where("speaks and licence is not null and path is not null")
@@ -274,7 +279,8 @@ def inherit(found: DataFrame) -> DataFrame:
     above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/")))
     ancestors = dirs.select("dir", F.explode(F.array_distinct(above)).alias("above"))
     nearest = ancestors.join(spoken, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "dir_licence")).alias("near")).select("dir", F.col("near.dir_licence").alias("dir_licence"), F.col("near.above").alias("licence_dir"))
-    return placed.join(nearest, "dir", "left").drop("dir")
+    nearest = scratch.save(nearest, "nearest")
+    return placed.join(F.broadcast(nearest) if nearest.count() <= DIRECTORIES else nearest, "dir", "left").drop("dir")
 
 
 def scan_licences(files: DataFrame, id_col: str, path: Column, text_col: str = "text", whole: float = WHOLE) -> DataFrame:
@@ -292,6 +298,6 @@ def scan_licences(files: DataFrame, id_col: str, path: Column, text_col: str = "
     found = found.select("id", "path", "licence", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.least(F.lit(1.0), F.col("size") / F.col("words")), F.lit(0.0)).alias("share"))
     by_name = F.regexp_extract("path", "([^/]*)$", 1).rlike(FILE_NAMES)
     found = scratch.save(found.withColumn("speaks", F.coalesce(by_name | (F.col("share") >= whole), F.lit(False))), "found")
-    out = inherit(found)
+    out = inherit(found, scratch)
     how = F.when(F.col("licence").isNotNull(), "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
     return out.select(F.col("id").alias(id_col), "path", F.coalesce("licence", "dir_licence").alias("licence"), how.alias("how"), "score", F.when(how == "inherited", F.col("licence_dir")).alias("licence_dir"))

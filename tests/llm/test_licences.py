@@ -1,9 +1,11 @@
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from loomgraph.llm import licences as li
+from loomgraph.llm.common import Scratch
 
 
 def plain_cosine(segment, template, held, files):
@@ -112,3 +114,33 @@ def test_inheritance(spark):
         (6, "MIT", "inherited", ""), (7, None, "none", None), (8, "MIT", "inherited", ""), (9, "GPL-3.0", "own", None), (10, "GPL-3.0", "inherited", "q"),
     }
     assert li.scan_licences(df.limit(0), "i", F.col("path")).collect() == []
+
+
+def test_inheritance_equals_a_walk_up_the_directories(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(400):
+        path = "/".join([*(r.choice("abc") for _ in range(r.randrange(5))), f"f{k}"])
+        speaks = r.random() < 0.1
+        rows.append((path if k % 50 else None, r.choice(["MIT", "ISC", None]), round(r.random(), 3), speaks))
+    got = {(g.path, g.licence, g.score): (g.dir_licence, g.licence_dir) for g in li.inherit(spark.createDataFrame(rows, "path string, licence string, score double, speaks boolean"), Scratch(spark, "test")).collect()}
+    said = {}
+    for path, licence, score, speaks in rows:
+        if path and speaks and licence:
+            home = path.rpartition("/")[0]
+            said[home] = max(said.get(home, (0.0, "")), (score, licence))
+    for path, licence, score, _ in rows:
+        want = (None, None)
+        if path:
+            at = path.rpartition("/")[0]
+            while at not in said and at:
+                at = at.rpartition("/")[0]
+            want = (said[at][1], at) if at in said else want
+        assert got[path, licence, score] == want
+
+
+def test_many_directories_are_joined_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(li, "DIRECTORIES", 0)
+    rows = [(f"d{k % 9}/f{k}", "MIT" if k < 9 else None, 1.0, k < 9) for k in range(300)]
+    got = li.inherit(spark.createDataFrame(rows, "path string, licence string, score double, speaks boolean"), Scratch(spark, "test")).collect()
+    assert len(got) == 300 and all(g.dir_licence == "MIT" and g.licence_dir == g.path.split("/")[0] for g in got)

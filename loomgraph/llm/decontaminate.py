@@ -16,8 +16,13 @@ A candidate is verified by exact containment: the share of the item's distinct s
 Words are runs of letters and digits, lower-cased for A-Z; items of fewer words than WIDTH are one shingle of their own
 width, looked for as such.
 
-Items are the query set: blocks of at most ITEMS of them (about 40 MB) are broadcast, one pass over the documents for
-each block. Null and empty texts, and items without words, contaminate nothing. Items with equal ids are separate items.
+Items are the query set. Up to ITEMS of them (about 40 MB) are broadcast and nothing is shuffled. More go in blocks of
+about ITEMS: the documents are written with a number, each block's hits are written by a job of their own, after which
+the block leaves the driver and the workers, and the hits are joined by number in the end.
+
+Null and empty texts, and items without words, contaminate nothing. Items with equal ids are separate items, and items
+without an id are sought like others; they are nulls among a document's items. Rows of documents that repeat are
+searched one by one.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import encoded, folding, mixed, prepare, windows, word_hashes
+from loomgraph.llm.common import Scratch, column, encoded, folding, from_row, held_in_worker, mixed, prepare, whole_row, windows, word_hashes
 
 WIDTH, LEAST, HASHES, BASE = 5, 0.8, 48, 2
 ITEMS = 20_000
@@ -191,18 +196,12 @@ class Index:
                         yield d, k
 
 
-_INDEXES: dict[str, Index] = {}
-
-
 def _searcher(shared):
     key = uuid.uuid4().hex
 
     @F.pandas_udf("items array<long>, shares array<double>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _INDEXES:  # a worker holds one block's index at a time
-            _INDEXES.clear()
-            _INDEXES[key] = Index(shared.value)
-        index = _INDEXES[key]
+        index = held_in_worker(key, lambda: Index(shared.value))
         for texts in batches:
             got = index.search([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"items": pd.Series([[index.ids[k] for k in sorted(g)] for g in got], dtype=object), "shares": pd.Series([[g[k] for k in sorted(g)] for g in got], dtype=object)})
@@ -210,44 +209,47 @@ def _searcher(shared):
     return search
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", each: int = ITEMS) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of bounded size, one at a time on the driver."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    n = items.count()
-    blocks = -(-n // each)
-    if blocks > 1:
-        # Blocks by a hash hold ITEMS rows on average; a copied item counts as often as it is there.
-        items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    for k in range(blocks):
-        part = items.where(F.col("block") == k) if blocks > 1 else items
-        yield [(r["item"], r["text"]) for r in part.orderBy("item", "text").collect()]
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", each: int | None = None) -> list[DataFrame]:
+    """The items (item, text) in blocks of bounded size."""
+    items = benchmark.select(column(item_col).cast("long").alias("item"), column(text_col).cast("string").alias("text")).where("text is not null")
+    blocks = -(-items.count() // (each or ITEMS))
+    # Blocks by a hash hold ITEMS rows on average; a copied item counts as often as it is there.
+    return [items] * blocks if blocks < 2 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def _collected(items: DataFrame) -> list[tuple[int | None, str]]:
+    return [(r["item"], r["text"]) for r in items.orderBy("item", "text").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", name: str = "__leaks") -> DataFrame:
-    """docs with a column struct<items, shares> of the test items that each text holds; nothing is shuffled."""
-    prepare(docs.sparkSession)
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """[row, items, shares]: each row of docs as a struct, with the test items that its text holds."""
     spark = docs.sparkSession
-    parts = []
-    for items in item_blocks(benchmark, item_col):
-        search = _searcher(spark.sparkContext.broadcast(items))
-        parts.append(search(F.col(text_col).cast("string")))
-    if not parts:
-        return docs.withColumn(name, F.struct(F.array().cast("array<long>").alias("items"), F.array().cast("array<double>").alias("shares")))
-    out = docs
-    for k, part in enumerate(parts):
-        out = out.withColumn(f"{name}{k}", part)
-    cols = [F.col(f"{name}{k}") for k in range(len(parts))]
-    both = F.struct(F.concat(*[c["items"] for c in cols]).alias("items"), F.concat(*[c["shares"] for c in cols]).alias("shares"))
-    return out.withColumn(name, both).drop(*[f"{name}{k}" for k in range(len(parts))])
+    prepare(spark)
+    blocks = item_blocks(benchmark, item_col)
+    none = [F.array().cast(f"array<{kind}>").alias(name) for name, kind in (("items", "long"), ("shares", "double"))]
+    if not blocks:
+        return docs.select(whole_row(docs).alias("row"), *none)
+    if len(blocks) == 1:
+        search = _searcher(spark.sparkContext.broadcast(_collected(blocks[0])))
+        return docs.select(whole_row(docs).alias("row"), search(column(text_col).cast("string")).alias("leaks")).select("row", "leaks.*")
+    scratch = Scratch(spark, "leaks")
+    numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("number"), whole_row(docs).alias("row")), "numbered")
+    for items in blocks:
+        shared = spark.sparkContext.broadcast(_collected(items))
+        hits = numbered.select("number", _searcher(shared)(F.col("row").getField(text_col).cast("string")).alias("leaks"))
+        hits.select("number", "leaks.*").where(F.size("items") > 0).write.mode("append").parquet(f"{scratch.path}/hits")
+        shared.destroy()
+    hits = spark.read.schema("number long, items array<long>, shares array<double>").parquet(f"{scratch.path}/hits")
+    every = hits.groupBy("number").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("items", "shares")])
+    return numbered.join(every, "number", "left").select("row", *[F.coalesce(c, empty) for c, empty in zip(("items", "shares"), none)]).toDF("row", "items", "shares")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """[id_col, contaminated, n_items, item_ids, top_share]: one row per row of docs."""
-    found = contaminated(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), benchmark, "__text").select("__id", "__leaks")
-    items = F.col("__leaks.items")
-    return found.select(F.col("__id").alias(id_col), (F.size(items) > 0).alias("contaminated"), F.size(items).alias("n_items"), F.array_sort(items).alias("item_ids"), F.coalesce(F.array_max("__leaks.shares"), F.lit(0.0)).alias("top_share"))
+    found = contaminated(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), benchmark)
+    return found.select(F.col("row.id").alias(id_col), (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), F.array_sort("items").alias("item_ids"), F.coalesce(F.array_max("shares"), F.lit(0.0)).alias("top_share"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs whose texts hold no test item, with their columns."""
-    return contaminated(docs, benchmark, text_col).where(F.size("__leaks.items") == 0).drop("__leaks")
+    return contaminated(docs, benchmark, text_col).where(F.size("items") == 0).select(*from_row("row", docs.columns))

@@ -85,12 +85,31 @@ def test_a_passage_in_a_very_long_document(spark):
 def test_items_in_blocks_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "seven")], "doc_id long, text string")
     items = spark.createDataFrame([(k, t) for k, t in enumerate(["one two three four five six", "x y z", "seven", "a b c d e f"])], "item_id long, text string")
-    blocks = list(d.item_blocks(items, each=1))
+    blocks = [d._collected(b) for b in d.item_blocks(items, each=1)]
     assert sorted(i for b in blocks for i, _ in b) == [0, 1, 2, 3] and len(blocks) == 4
     d.ITEMS, old = 2, d.ITEMS
     try:
         assert sorted((g.doc_id, list(g.item_ids)) for g in d.decontamination(docs, items).collect()) == [(1, [0]), (2, [2])]
+        assert d.drop_contaminated(docs, items.where("item_id <> 2")).collect() == [(2, "seven")]
     finally:
         d.ITEMS = old
     assert [g.contaminated for g in d.decontamination(docs, items.limit(0)).collect()] == [False, False]
     assert d.decontamination(docs.limit(0), items).collect() == []
+
+
+def test_100000_items_in_blocks(spark):
+    """Each of 300 documents holds one of the items, or, for every third, most of one."""
+    text = "concat_ws(' ', transform(sequence(0, 11), k -> concat('w', {0}, 'x', k * k)))"
+    items = spark.range(100_000).selectExpr("id as item_id", text.format("id") + " as text")
+    inside = f"if(id % 3 = 0, regexp_replace({text.format('id * 331')}, ' [^ ]*$', ' changed'), {text.format('id * 331')})"
+    docs = spark.range(300).repartition(4).selectExpr("id as doc_id", f"concat('some words ', {inside}, ' and more words that go on') as text", "id * 2 as leaks", "id as number")
+    got = {g.doc_id: list(g.item_ids) for g in d.decontamination(docs, items).collect()}
+    assert got == {i: [i * 331] for i in range(300)}
+
+
+def test_items_without_an_id_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 5, 6, 7), (2, "x", 5, 6, 7)], "doc_id long, text string, __leaks int, row int, `a.b` int")
+    items = spark.createDataFrame([(None, "two three four five six"), (3, None)], "item_id long, text string")
+    assert sorted((g.doc_id, g.n_items, g.item_ids) for g in d.decontamination(docs, items).collect()) == [(1, 1, [None]), (2, 0, [])]
+    kept = d.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "x", 5, 6, 7)]

@@ -8,6 +8,9 @@ a manifest that only successful attempts reach; a lost or repeated attempt leave
 The reader takes a file in pieces of bounded size, inflates one gzip member at a time, frames each record by its
 Content-Length and checks the digests of its block and payload. A damaged record raises WarcError.
 
+Archives are read by a task each, as long as there are no more than READERS of them. Files are opened by pyarrow: local
+ones, S3 (`s3://`, and Hadoop's `s3a://` and `s3n://`), Google's and Azure's stores, and HDFS where libhdfs is installed.
+
 A null html is an empty payload. Rows that share the greatest page_id of a payload are all responses, and a null
 page_id counts as less than any other. An empty table gives no rows.
 """
@@ -33,6 +36,10 @@ from loomgraph.llm.common import Scratch, encoded, prepare
 
 #: Bytes that the reader takes at a time, and a closed archive's size.
 PIECE, ARCHIVE = 1 << 16, 256 << 20
+#: Partitions that a manifest's archives are dealt to at most.
+READERS = 20_000
+#: Hadoop's names of schemes that pyarrow has under other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -125,8 +132,14 @@ def read_records(stream: BinaryIO) -> Iterator[Record]:
         yield parse(member)
 
 
+def arrow_uri(uri: str) -> str:
+    """A path or a URI of Hadoop's as one of pyarrow's."""
+    scheme, mark, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else "file://" + os.path.abspath(uri.removeprefix("file:"))
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri.removeprefix("file:")))
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def _page(uri: str | None) -> int | None:
@@ -214,10 +227,12 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
     return with_record_types(pages, least_bytes).mapInArrow(_writer(folder), "file string, records long")
 
 
-def read_warc(manifest: DataFrame, with_text: bool = False) -> DataFrame:
-    """The records of the archives that a manifest lists."""
+def read_warc(manifest: DataFrame, with_text: bool = False, archives: int | None = None) -> DataFrame:
+    """The records of the archives that a written manifest lists; it is counted unless the number of `archives` is given."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * with_text
-    return manifest.repartition("file").mapInArrow(_reader(with_text), schema)
+    parts = min(max(1, manifest.count() if archives is None else archives), READERS)
+    # By ranges of names, which are few and sampled whole: hashes would put several into a partition and none into others.
+    return manifest.repartitionByRange(parts, "file").mapInArrow(_reader(with_text), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

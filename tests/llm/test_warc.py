@@ -2,6 +2,7 @@ import io
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import warc
 
@@ -47,3 +48,21 @@ def test_reader_takes_members_one_by_one_and_sees_damage():
         list(warc.read_records(io.BytesIO(packer.compress(raw) + packer.flush())))
     with pytest.raises(warc.WarcError):
         list(warc.read_records(io.BytesIO(b"plain")))
+
+
+def test_archives_are_read_by_a_task_each(spark):
+    manifest = spark.range(1000).selectExpr("concat('file:///a/', lpad(id, 4, '0'), '-x.warc.gz') as file", "1L as records")
+    read = warc.read_warc(manifest)
+    assert read.rdd.getNumPartitions() == 1000
+    dealt = manifest.repartitionByRange(1000, "file").groupBy(F.spark_partition_id().alias("p")).count()
+    assert dealt.count() >= 990 and dealt.agg(F.max("count")).first()[0] <= 2
+
+
+def test_many_archives_come_back_whole(spark):
+    rows = [(k, f"u{k}", f"page {k % 700} " * (k % 50)) for k in range(2000)]
+    got = {r.page_id: r.payload_bytes for r in warc.round_trip(pages(spark, rows).repartition(40)).collect()}
+    assert got == {k: len(h) for k, _, h in rows}
+
+
+def test_uris(tmp_path):
+    assert warc.arrow_uri("s3a://b/x") == "s3://b/x" and warc.arrow_uri("file:/a/b") == "file:///a/b" and warc.arrow_uri("/a") == "file:///a" and warc.arrow_uri("gs://b/x") == "gs://b/x"

@@ -3,11 +3,9 @@
 Law `bytes`: shards' sizes are near equal, and equal texts stay together. A document's size is its text's UTF-8 bytes
 (null: none) plus 8. Null is a text of its own, apart from the empty text.
 
-The heap runs over size classes, not over groups, so what reaches the driver has a fixed bound. Groups below EXACT
-bytes have a class for each size; larger ones share geometric classes of 1/4096 relative width, at most 4096 for each
-doubling. A class of n groups is laid out as a heap would lay out n equal groups one by one (`fill`). The geometric
-classes go first; then the shards' true loads are summed up, and the exact classes continue from those. So the error
-of the geometric classes is made good by the smaller groups, as long as there are any.
+The heap runs over sizes, not over groups: the n groups of one size are laid out as a heap would lay them out one by one
+(`fill`). Sizes come to the driver in blocks of about SIZES of them, the largest first; only the shards' loads go on from
+block to block, and each block's plan is written. Groups are then joined with the plan by their size and rank within it.
 
 Rows that repeat a doc_id are separate rows. An empty table gives no rows. Columns besides id and text are left out.
 """
@@ -15,16 +13,15 @@ Rows that repeat a doc_id are separate rows. An empty table gives no rows. Colum
 from __future__ import annotations
 
 import heapq
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, blocks_for, ranked
+from loomgraph.llm.common import Scratch, blocks_for, column, ranked
 
-#: Groups of at least so many bytes are in geometric classes.
-EXACT = 1 << 16
-STEPS = 4096
+#: Sizes that the driver lays out at a time.
+SIZES = 20_000
 
 
 def fill(loads: list[int], size: int, n: int) -> list[int]:
@@ -52,56 +49,53 @@ def fill(loads: list[int], size: int, n: int) -> list[int]:
     return counts
 
 
-def schedule(classes: list[tuple[int, int, int]], loads: list[int]) -> list[tuple[int, int, int, int]]:
-    """(class, shard, first rank, one past the last) for classes (class, groups, bytes), largest groups first."""
+def schedule(sizes: list[tuple[int, int]], loads: list[int]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(size, [(one past the last rank, shard), ...]) for (size, groups) from the largest on; the loads grow along."""
     out = []
-    loads = list(loads)
-    for k, n, total in sorted(classes, reverse=True):
-        size = max(1, round(total / n))
-        at = 0
+    for size, n in sorted(sizes, reverse=True):
+        at, ranges = 0, []
         for shard, count in enumerate(fill(loads, size, n)):
             if count:
-                out.append((k, shard, at, at + count))
                 at += count
+                ranges.append((at, shard))
                 loads[shard] += count * size
+        out.append((size, ranges))
     return out
 
 
+def size_blocks(sizes: DataFrame, scratch: Scratch, each: int | None = None) -> Iterator[list[tuple[int, int]]]:
+    """The rows (bytes, n) in blocks of about `each`, the largest bytes first."""
+    blocks = blocks_for(sizes.count(), each or SIZES)
+    dealt = scratch.save(sizes.repartitionByRange(blocks, "bytes").withColumn("block", F.spark_partition_id()), "sizes") if blocks > 1 else sizes.withColumn("block", F.lit(0))
+    order = [r["block"] for r in dealt.groupBy("block").agg(F.max("bytes").alias("top")).orderBy(F.desc("top")).collect()]
+    for k in order:
+        yield [(r["bytes"], r["n"]) for r in dealt.where(F.col("block") == k).select("bytes", "n").collect()]
+
+
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24) -> DataFrame:
     """[id_col, size, text_crc32, law, shard, slot, grown_shard]: one row per row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
-    text = F.col(text_col).cast("string").cast("binary")
+    text = column(text_col).cast("string").cast("binary")
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        column(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(text).alias("crc"),
         F.coalesce(F.sha2(text, 256), F.lit("null")).alias("text_key"),
     )
     rows = scratch.save(rows, "rows")
+    n = rows.count()
     # Summed up in each task first: a text that a third of the rows hold is one row from each task.
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
-    octave = F.floor(F.log2(F.col("bytes").cast("double"))).cast("long")
-    geometric = EXACT + octave * STEPS + F.floor((F.col("bytes") / F.pow(F.lit(2.0), octave) - 1) * STEPS).cast("long")
-    groups = groups.withColumn("class", F.when(F.col("bytes") < EXACT, F.col("bytes")).otherwise(geometric))
-    groups = scratch.save(groups, "groups")
-    n = groups.count()
-    placed = scratch.save(ranked(groups, ["class"], F.col("text_key"), [F.col("text_key")], blocks_for(n), "rank"), "placed")
-    loads = [0] * shards
-    parts = []
-    for name, part in (("large", placed.where(F.col("class") >= EXACT)), ("small", placed.where(F.col("class") < EXACT))):
-        # At most EXACT or STEPS * 47 rows.
-        classes = [tuple(r) for r in part.groupBy("class").agg(F.count(F.lit(1)), F.sum("bytes")).collect()]
-        plan = spark.createDataFrame(schedule(classes, loads), "of long, shard int, first long, past long")
-        # One row for each class and shard: a join on the class with the rank's range multiplies nothing.
-        firsts = plan.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("past", "shard"))).alias("ranges"))
-        got = part.join(firsts, F.col("class") == F.col("of")).select("text_key", "bytes", F.expr("filter(ranges, r -> r.past > rank)[0].shard").alias("shard"))
-        got = scratch.save(got, name)
-        for shard, total in got.groupBy("shard").agg(F.sum("bytes")).collect():
-            loads[shard] += total
-        parts.append(got.select("text_key", "shard"))
-    sharded = scratch.save(rows.join(parts[0].union(parts[1]), "text_key"), "sharded")
-    slots = ranked(sharded, ["shard"], F.struct("id", "text_key"), [F.col("id"), F.col("text_key")], blocks_for(rows.count()), "slot")
+    groups = scratch.save(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")), "groups", blocks_for(n))
+    placed = scratch.save(ranked(groups, ["bytes"], F.col("text_key"), [F.col("text_key")], blocks_for(groups.count()), "rank"), "placed", blocks_for(n))
+    loads, schema = [0] * shards, "of long, ranges array<struct<past: long, shard: int>>"
+    plan = scratch.save(spark.createDataFrame([], schema), "plan")
+    for block in size_blocks(placed.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")), scratch):
+        spark.createDataFrame(schedule(block, loads), schema).coalesce(1).write.mode("append").parquet(f"{scratch.path}/plan")
+    plan = spark.read.schema(schema).parquet(f"{scratch.path}/plan")
+    homes = placed.join(plan, F.col("bytes") == F.col("of")).select("text_key", F.expr("filter(ranges, r -> r.past > rank)[0].shard").alias("shard"))
+    sharded = scratch.save(rows.join(homes, "text_key"), "sharded")
+    slots = ranked(sharded, ["shard"], F.struct("id", "text_key"), [F.col("id"), F.col("text_key")], blocks_for(n), "slot")
     return slots.select(
         F.col("id").alias(id_col),
         "size",

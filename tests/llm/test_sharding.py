@@ -2,10 +2,13 @@ import heapq
 import random
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm.sharding import fill, shard_documents
+from loomgraph.llm import sharding
+from loomgraph.llm.common import Scratch
+from loomgraph.llm.sharding import fill, schedule, shard_documents, size_blocks
 
 
 @settings(max_examples=200, deadline=None)
@@ -27,7 +30,34 @@ def plain(sizes, shards):
     return sorted(loads)
 
 
-def test_equals_the_plain_heap_below_the_geometric_classes(spark):
+def test_blocks_of_sizes_come_largest_first(spark):
+    r = random.Random(2)
+    sizes = list({r.randrange(1, 1 << 26): r.choice([1, 1, 2, 40, 700]) for _ in range(3000)}.items())
+    df = spark.createDataFrame(sizes, "bytes long, n long")
+    blocks = list(size_blocks(df, Scratch(spark, "test"), 250))
+    assert len(blocks) > 8 and sorted(x for b in blocks for x in b) == sorted(sizes)
+    assert all(min(a)[0] > max(b)[0] for a, b in zip(blocks, blocks[1:]))
+    loads = [0] * 24
+    for b in blocks:
+        schedule(b, loads)
+    heap = [(0, i) for i in range(24)]
+    for s, n in sorted(sizes, reverse=True):
+        for _ in range(n):
+            x, i = heap[0]
+            heapq.heapreplace(heap, (x + s, i))
+    assert loads == [x for x, _ in sorted(heap, key=lambda h: h[1])]
+
+
+@pytest.mark.parametrize("each", [20_000, 40])
+def test_equals_the_plain_heap_at_every_size(spark, each, monkeypatch):
+    monkeypatch.setattr(sharding, "SIZES", each)
+    sizes = [1 << k for k in range(0, 23)] + [70_000 + 13 * k for k in range(150)] + [5_000] * 30
+    rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int").selectExpr("doc_id", "concat(doc_id, repeat('x', n)) as text")
+    got = shard_documents(rows, shards=7).groupBy("shard").agg({"size": "sum"}).collect()
+    assert sorted(g[1] for g in got) == plain([8 + n + len(str(i)) for i, n in enumerate(sizes)], 7)
+
+
+def test_equals_the_plain_heap(spark):
     r = random.Random(1)
     rows = [(i, None if i % 40 == 0 else "" if i % 41 == 0 else "é" * r.randrange(300) + str(r.randrange(150))) for i in range(600)]
     got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).collect()
@@ -49,7 +79,7 @@ def test_large_groups_and_a_hot_text(spark):
     rows = [(i, "x" * (60_000 + 997 * i)) for i in range(40)] + [(100 + i, "hot" * 50) for i in range(800)] + [(2000 + i, "s" * (i % 700)) for i in range(900)]
     got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
     loads = [sum(g["size"] for g in got if g.shard == s) for s in range(4)]
-    assert len(got) == len(rows) and max(loads) - min(loads) <= 2000
+    assert len(got) == len(rows) and max(loads) - min(loads) <= 700
     assert len({g.shard for g in got if 100 <= g.doc_id < 900}) == 1
 
 

@@ -7,9 +7,11 @@ ties). Characters that no piece covers cost the least score minus 10 and are wri
 piece if the vocabulary has none. A U+2581 of the text itself is such a character, so that decoding gives the text back.
 
 If no piece has a space after another character, the best path splits where spaces begin, and the paths of words with
-the spaces before them are remembered (WORDS of them in a worker). Other vocabularies take each text in one go.
+the spaces before them are remembered (WORDS of them in a worker, those met last). Other vocabularies take each text in
+one go.
 
-A null text has null ids, no tokens, and comes back as null. An empty text has no tokens.
+A null text has null ids, no tokens, and comes back as null. An empty text has no tokens. Rows that repeat are encoded
+alike.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import prepare
+from loomgraph.llm.common import column, held_in_worker, prepare
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
-WORDS, LONG = 400_000, 48
+WORDS, LONG = 200_000, 48
 #: Fixed values of the file format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -87,6 +89,7 @@ class Codec:
         self.by_word = all(SPACE not in piece.lstrip(SPACE) for piece in usable)
         self._build(usable)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary]
 
     def _build(self, usable: dict[str, tuple[int, float]]) -> None:
@@ -162,11 +165,14 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         """The packed ids of a word after a space; further spaces of its run may begin it."""
+        if (packed := self.older.get(word)) is not None:
+            self.memory[word] = packed
+            return packed
         ids = self.best_path(SPACE + word.replace(" ", SPACE), {i + 1 for i, c in enumerate(word) if c == SPACE} if SPACE in word else frozenset())
         packed = np.array(ids, np.int32).tobytes()
         if len(word) <= LONG:
-            if len(self.memory) >= WORDS:
-                self.memory.clear()
+            if len(self.memory) >= WORDS // 2:
+                self.older, self.memory = self.memory, {}
             self.memory[word] = packed
         return packed
 
@@ -186,24 +192,13 @@ class Codec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(key: str, shared) -> Codec:
-    """The worker's codec; it holds one vocabulary at a time."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
-
-
 def encoder(spark: SparkSession, model_file: str = MODEL_FILE):
     """A column function: text to struct<token_ids, n_tokens, round_trip>. The vocabulary, half a megabyte, is broadcast."""
     shared, key = spark.sparkContext.broadcast(load(model_file)), uuid.uuid4().hex
 
     @F.pandas_udf("token_ids array<int>, n_tokens int, round_trip boolean")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(key, shared)
+        codec = held_in_worker(key, lambda: Codec(shared.value))
         for texts in batches:
             ids = [codec.encode(t) if isinstance(t, str) else None for t in texts]
             again = [i is None or codec.decode(i) == t for i, t in zip(ids, texts)]
@@ -218,7 +213,7 @@ def decoder(spark: SparkSession, model_file: str = MODEL_FILE):
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(key, shared)
+        codec = held_in_worker(key, lambda: Codec(shared.value))
         for ids in batches:
             yield pd.Series([None if i is None else codec.decode(i) for i in ids], dtype=object)
 
@@ -229,4 +224,4 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """[id_col, token_ids, n_tokens, round_trip]: one row per row of docs."""
     prepare(docs.sparkSession)
     encode = encoder(docs.sparkSession, model_file)
-    return docs.select(F.col(id_col).alias("__id"), encode(F.col(text_col).cast("string")).alias("e")).select(F.col("__id").alias(id_col), "e.*")
+    return docs.select(column(id_col).alias("__id"), encode(column(text_col).cast("string")).alias("e")).select(F.col("__id").alias(id_col), "e.*")

@@ -4,25 +4,27 @@ from loomgraph.llm import chat
 
 
 def brute(rows, context=("system",), part=256):
-    """(conversation, speaker, part) -> (rendered, spans)"""
+    """(conversation, speaker, part) -> (offset, rendered, spans)"""
     out = {}
     rows = {(c, t, "unknown" if r is None else r.replace("<|", "<\\|"), (x or "").replace("<|", "<\\|")) for c, t, r, x in rows if c is not None and t is not None}
     for conv in {r[0] for r in rows}:
         mine = sorted(r[1:] for r in rows if r[0] == conv)
         for speaker in {r for _, r, _ in mine if r not in context}:
+            at = 0
             for turn, role, text in mine:
-                rendered, spans = out.setdefault((conv, speaker, turn // part), ("", []))
+                offset, rendered, spans = out.setdefault((conv, speaker, turn // part), (at, "", []))
                 head = "<|system|>\n" if role in context else "<|assistant|>\n" if role == speaker else f"<|user name={role}|>\n"
                 piece = f"{head}{text}<|end|>\n"
                 if role == speaker:
-                    spans.append((len(rendered) + len(head), len(rendered) + len(piece)))
-                out[conv, speaker, turn // part] = rendered + piece, spans
+                    spans.append((at + len(head), at + len(piece)))
+                at += len(piece)
+                out[conv, speaker, turn // part] = offset, rendered + piece, spans
     return out
 
 
 def run(spark, rows, **options):
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as conv", "2 as speaker", "3 as part")
-    return {(g.conv_id, g.speaker, g.part): (g.rendered, [tuple(s) for s in g.spans]) for g in chat.rotate(df, **options).collect()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as conv", "2 as speaker", "3 as part", "4 as offset")
+    return {(g.conv_id, g.speaker, g.part): (g.offset, g.rendered, [tuple(s) for s in g.spans]) for g in chat.rotate(df, **options).collect()}
 
 
 def test_matches_the_plain_rendering(spark):
@@ -36,12 +38,19 @@ def test_a_long_conversation_comes_in_parts(spark):
     rows = [(1, t, ["user", "assistant", "Ann"][t % 3], f"m{t}") for t in range(1000)]
     got = run(spark, rows)
     assert got == brute(rows) and {p for _, _, p in got} == {0, 1, 2, 3}
+    whole = "".join(got[1, "Ann", p][1] for p in range(4))
+    assert all(whole[a:b] == f"m{2 + 3 * k}<|end|>\n" for k, (a, b) in enumerate(s for p in range(4) for s in got[1, "Ann", p][2]))
+
+
+def test_offsets_across_blocks_of_parts(spark):
+    rows = [(c, t, ["user", "Ann"][t % 2], "x" * (t % 5)) for c in (1, 2) for t in range(-7, 60)]
+    assert run(spark, rows, part_turns=3) == brute(rows, part=3)
 
 
 def test_trained_characters_are_what_the_speaker_says(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "Ann", "first"), (1, 2, "Bob", "second"), (1, 3, "Ann", "third")]
     got = run(spark, rows)
-    rendered, spans = got[1, "Ann", 0]
+    _, rendered, spans = got[1, "Ann", 0]
     assert [rendered[a:b] for a, b in spans] == ["first<|end|>\n", "third<|end|>\n"] and "<|user name=Bob|>\nsecond" in rendered
     assert run(spark, []) == {} and run(spark, rows, context_roles=()).keys() == {(1, "Ann", 0), (1, "Bob", 0), (1, "system", 0)}
 

@@ -3,7 +3,9 @@
 The network reads windows of WINDOW bytes that tile the whole text (the last one ends where the text ends; short texts
 are filled up with spaces). At every byte the states of both directions give a distribution over languages, and a
 document's probabilities are the mean of its bytes' distributions. It is trained in numpy by backpropagation through
-time, on at most DOCS documents of each of the LANGUAGES most frequent languages and SPOTS windows of each.
+time, on SPOTS windows of at most DOCS documents of each language, and of at most ALL_DOCS in all: with more than
+ALL_DOCS / DOCS languages each has fewer, one at least. Documents are the first in the order of a hash of the id; rows
+that repeat an id are one of them, the one with the least windows.
 
 Arrays have features before windows, so that every elementwise step runs over contiguous memory. Gates use the hard
 sigmoid, and candidates the rational function t * (27 + t**2) / (27 + 9 * t**2) of t clipped to -3..3, which stands for
@@ -19,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import encoded, held_out, prepare, spread
+from loomgraph.llm.common import column, encoded, held_out, prepare, spread
 
 WINDOW, HIDDEN = 64, 8
-DOCS, SPOTS, LANGUAGES = 400, 4, 256
+DOCS, ALL_DOCS, SPOTS = 400, 100_000, 4
 EPOCH_STEPS, BATCH, RATE = 400, 128, 0.015
 UNKNOWN = "und"
 _AT_ONCE = 512
@@ -231,17 +233,22 @@ def predictor(net: Network | None):
     return predict
 
 
-def labelled_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
+def labelled_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int | None = None) -> tuple[list[str], list[str]]:
     """Passages and languages of a bounded sample of the documents that are not held out; documents and places come from hashes of the id."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).where(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("t").rlike(r"\p{L}") & ~held_out(F.col("i")))
-    counts = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(lang_col).cast("string").alias("g")).count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()
-    rate = F.lit(0.0)
-    for g, n in counts:
-        rate = F.when(F.col("g") == g, min(1.0, DOCS / n)).otherwise(rate)
-    few = rows.where(spread(F.col("i"), F.lit(5)) < rate)
+    rows = docs.select(column(id_col).alias("i"), column(text_col).cast("string").alias("t"), column(lang_col).cast("string").alias("g"))
+    rows = rows.where(F.col("g").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i"))).withColumn("at", spread(F.col("i"), F.lit(5)))
+    counts = rows.groupBy("g").agg(F.approx_count_distinct("i").alias("n"))
+    languages = counts.count()
+    if not languages:
+        return [], []
+    each = max(1, min(DOCS, ALL_DOCS // languages)) if most is None else most
+    # Twice as many as wanted, as some have no letter and counts are approximate; what is too many is cut below.
+    few = rows.join(counts, "g").where(F.col("at") * F.col("n") < 2 * each).where(F.col("t").rlike(r"\p{L}"))
     last = F.greatest(F.length("t") - WINDOW, F.lit(0)) + 1
-    spots = [F.col("t").substr((F.floor(spread(F.col("i"), F.lit(11 + k)) * last) + 1).cast("int"), F.lit(WINDOW)) for k in range(SPOTS)]
-    got = few.select("i", "g", F.explode(F.array_distinct(F.array(*spots))).alias("p")).orderBy("i", "p").collect()
+    spots = F.array(*[F.col("t").substr((F.floor(spread(F.col("i"), F.lit(11 + k)) * last) + 1).cast("int"), F.lit(WINDOW)) for k in range(SPOTS)])
+    one = few.select("i", "at", F.struct(F.array_distinct(spots).alias("spots"), "g").alias("x")).groupBy("i", "at").agg(F.min("x").alias("x"))
+    order = F.row_number().over(Window.partitionBy("x.g").orderBy("at", "i"))
+    got = one.withColumn("place", order).where(F.col("place") <= each).select("i", "x.g", F.explode("x.spots").alias("p")).orderBy("i", "p").collect()
     return [r["p"] for r in got], [r["g"] for r in got]
 
 
@@ -249,5 +256,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """[id_col, held_out, lang_pred, score]: one row per row of docs."""
     prepare(docs.sparkSession)
     predict = predictor(train(*labelled_passages(docs, id_col, text_col, lang_col)))
-    found = docs.select(F.col(id_col).alias("__id"), predict(F.col(text_col).cast("string")).alias("p"))
+    found = docs.select(column(id_col).alias("__id"), predict(column(text_col).cast("string")).alias("p"))
     return found.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

@@ -72,3 +72,16 @@ def test_no_labels_and_no_rows(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
     df = spark.createDataFrame([(1, "the house", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(df).collect()] == [("und", 0.0)]
+
+
+def test_sample_is_bounded_by_documents(spark):
+    one = spark.range(20_000).selectExpr("1L as doc_id", "concat('the house ', id) as text", "'en' as lang")
+    more = spark.range(1000, 3000).selectExpr("id as doc_id", "concat('und nicht ', id, repeat(' wasser', 40)) as text", "concat('l', id % 7) as lang")
+    passages, languages = langid.labelled_passages(one.union(more), most=20)
+    assert languages.count("en") <= langid.SPOTS and {g for g in languages} == {"en", *(f"l{k}" for k in range(7))}
+    assert all(20 <= languages.count(f"l{k}") <= 20 * langid.SPOTS for k in range(7)) and all(len(p) <= langid.WINDOW for p in passages)
+
+
+def test_more_than_256_languages(spark):
+    df = spark.range(6000).selectExpr("id as doc_id", "concat(char(97 + id % 20), char(97 + (id div 20) % 16), ' word') as text", "concat('l', id % 320) as lang")
+    assert len(set(langid.labelled_passages(df)[1])) == 320

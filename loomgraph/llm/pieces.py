@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,11 +33,14 @@ from loomgraph.llm.common import column, held_in_worker, prepare
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
-WORDS, LONG = 200_000, 48
+WORDS, LONG = 300_000, 48
 #: Fixed values of the file format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 _RUNS = re.compile(" +[^ ]*")
+_INFINITE = float("inf")
+#: A step over one character that no piece covers: (length, piece, score), as in a state's outputs.
+_UNKNOWN_STEP = (1, -1, 0.0)
 
 Vocabulary = list[tuple[str, float, int]]
 
@@ -133,8 +137,8 @@ class Codec:
 
     def best_path(self, text: str, literal: set[int] = frozenset()) -> list[int]:
         """Ids of the best path. Places in `literal` hold a U+2581 of the text itself."""
-        best, back = [0.0], [(0, -1)]
-        steps, out, single = self.steps, self.out, self.single
+        best, back = [0.0], [_UNKNOWN_STEP]
+        steps, out, single, penalty = self.steps, self.out, self.single, self.penalty
         state = 0
         for i, c in enumerate(text, 1):
             if literal and i - 1 in literal:
@@ -142,18 +146,18 @@ class Codec:
             else:
                 to = steps[state].get(c)
                 state = self._step(state, c) if to is None else to
-            top, via = float("-inf"), (1, -1)
-            for n, piece, score in out[state]:
-                score += best[i - n]
+            top, via = -_INFINITE, _UNKNOWN_STEP
+            for link in out[state]:
+                score = link[2] + best[i - link[0]]
                 if score > top:
-                    top, via = score, (n, piece)
-            if not single[state] and (score := best[-1] + self.penalty) > top:
-                top, via = score, (1, -1)
+                    top, via = score, link
+            if not single[state] and (score := best[-1] + penalty) > top:
+                top, via = score, _UNKNOWN_STEP
             best.append(top)
             back.append(via)
         ids, at = [], len(text)
         while at:
-            n, piece = back[at]
+            n, piece, _ = back[at]
             if piece >= 0:
                 ids.append(piece)
             elif all(b in self.bytes for b in text[at - 1].encode("utf-8", "surrogatepass")):
@@ -169,7 +173,7 @@ class Codec:
             self.memory[word] = packed
             return packed
         ids = self.best_path(SPACE + word.replace(" ", SPACE), {i + 1 for i, c in enumerate(word) if c == SPACE} if SPACE in word else frozenset())
-        packed = np.array(ids, np.int32).tobytes()
+        packed = array("i", ids).tobytes()
         if len(word) <= LONG:
             if len(self.memory) >= WORDS // 2:
                 self.older, self.memory = self.memory, {}

@@ -243,7 +243,8 @@ def labelled_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return [], []
     each = max(1, min(DOCS, ALL_DOCS // languages)) if most is None else most
     # Twice as many as wanted, as some have no letter and counts are approximate; what is too many is cut below.
-    few = rows.join(counts, "g").where(F.col("at") * F.col("n") < 2 * each).where(F.col("t").rlike(r"\p{L}"))
+    # A row for each language, counted above: texts are not dealt by language.
+    few = rows.join(F.broadcast(counts) if languages <= ALL_DOCS else counts, "g").where(F.col("at") * F.col("n") < 2 * each).where(F.col("t").rlike(r"\p{L}"))
     last = F.greatest(F.length("t") - WINDOW, F.lit(0)) + 1
     spots = F.array(*[F.col("t").substr((F.floor(spread(F.col("i"), F.lit(11 + k)) * last) + 1).cast("int"), F.lit(WINDOW)) for k in range(SPOTS)])
     one = few.select("i", "at", F.struct(F.array_distinct(spots).alias("spots"), "g").alias("x")).groupBy("i", "at").agg(F.min("x").alias("x"))

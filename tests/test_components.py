@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import loomgraph as lg
+from loomgraph.operators import components
+from loomgraph.plans.store import Store
 from tests.helpers import directed, edges, pairs_of, random_digraph, strong, undirected, weak
 
 
@@ -97,3 +100,26 @@ def test_too_many_phases_are_an_error(spark):
         lg.strongly_connected_components(directed(spark, e), strategy="distributed", max_iters=0)
     with pytest.raises(ValueError, match="materialize_every"):
         lg.strongly_connected_components(directed(spark, e), materialize_every=2)
+
+
+@pytest.mark.parametrize("strategy", ["local", "auto"])
+def test_no_more_edges_than_the_threshold_come_to_the_driver(spark, strategy, monkeypatch):
+    """Neither at once nor after contraction, and the labels are the same."""
+    brought, arrays = [], components._edge_arrays
+    monkeypatch.setattr(components, "_edge_arrays", lambda e: brought.append(e.count()) or arrays(e))
+    e = random_digraph(4, 40, 130) + [(9, 9), (70, 71), (72, 71), (72, 73)]
+    vertices = {v for p in e for v in p}
+    for most in (1, 20, 1000):
+        got = lg.connected_components(undirected(spark, e), strategy=strategy, local_threshold=most)
+        assert dict(pairs_of(got, "id", "component")) == weak(e, vertices)
+        got = lg.strongly_connected_components(directed(spark, e), strategy=strategy, local_threshold=most)
+        assert dict(pairs_of(got, "id", "component")) == strong(e, vertices)
+        assert all(n <= most for n in brought)
+    assert len(brought) > 1
+
+
+def test_hooking_leaves_few_edges(spark):
+    """A dense graph is almost contracted before the star rounds begin."""
+    e = edges(spark, random_digraph(1, 60, 1200))
+    roots, left, seen = components._hooked(e, Store(spark), rows=F.count(F.lit(1)))
+    assert roots.count() == 60 and seen["rows"] == left.count() < 20

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import loomgraph as lg
-from loomgraph.operators import community, structure
+from loomgraph.operators import community, factor, structure
 from loomgraph.plans import store
 from tests.helpers import adjacency, cores, directed, edges, hops, pagerank, pairs_of, random_digraph, triangles, undirected
 
@@ -158,6 +158,23 @@ def test_svd_plus_plus_is_the_same_on_both_sides_of_the_threshold(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
 
 
+@pytest.mark.parametrize("whole,shared", [(1000, 1000), (1000, 0), (60, 10), (0, 0)])
+def test_svd_plus_plus_by_components(spark, monkeypatch, whole, shared):
+    """Components in tasks of their own, together, or by joins: the same factors. Only larger ones are joined."""
+    monkeypatch.setattr(factor, "TASK_RATINGS", whole)
+    monkeypatch.setattr(factor, "SHARED_RATINGS", shared)
+    joined, joins = [], factor._joined
+    monkeypatch.setattr(factor, "_joined", lambda r, *fit: joined.append(r.count()) or joins(r, *fit))
+    one = ratings(spark).edges
+    few = spark.createDataFrame([(900, 950, 3.0), (900, 951, 4.0), (901, 951, 1.0), (-5, -5, 2.0)], "src long, dst long, rating double")
+    g = lg.DirectedGraph(one.union(few).union(one.select(F.col("src") + 1000, F.col("dst") + 1000, "rating")))
+    near, far = (lg.svd_plus_plus(g, rank=2, epochs=2, learning_rate=0.05, seed=4, strategy=s) for s in ("local", "distributed"))
+    assert near.rmse == pytest.approx(far.rmse, abs=1e-12)
+    a, b = ({(r.id, r.kind): [r.bias, *r.factor] for r in x.factors.collect()} for x in (near, far))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+    assert joined == {1000: [], 60: [216], 0: [220]}[whole]
+
+
 def test_svd_plus_plus_without_ratings(spark):
     got = lg.svd_plus_plus(lg.DirectedGraph(spark.createDataFrame([], "src long, dst long, rating double")))
     assert (got.rmse, got.global_mean, got.factors.count()) == (0.0, 0.0, 0)

@@ -2,50 +2,164 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.edges import canonicalize, symmetrize
+from loomgraph.functions.edges import canonicalize, dedupe_edges, drop_self_loops, symmetrize
 from loomgraph.names import APPROX, CORE, DST, HOP, ID, SELECTED, SRC, TRIANGLES
 from loomgraph.operators.graph import Graph, endpoints
+from loomgraph.plans import store as tables
 from loomgraph.plans.fixed_point import not_converged, written_each_round
 from loomgraph.plans.store import Store, files_for
 
-#: A round of k_core looks at the neighbours of changed vertices only if these are fewer than one in so many.
+#: A round of k_core by joins looks at the neighbours of changed vertices only if these are fewer than one in so many.
 SPARSE = 20
+#: Links of a block of vertices, which a task of k_core holds in arrays, and vertices up to which it does so.
+BLOCK = 1_000_000
+DENSE = 20_000_000
+
+
+def _pairs(graph: Graph, store: Store) -> tuple[DataFrame, int]:
+    """(distinct unordered pairs, loops among them, as a table; how many). So edges are made once, whatever is read from them."""
+    up = F.col(SRC) <= F.col(DST)
+    low, high = F.when(up, F.col(SRC)).otherwise(F.col(DST)), F.when(up, F.col(DST)).otherwise(F.col(SRC))
+    pairs, seen = store.measured(dedupe_edges(graph.edges.select(low.alias(SRC), high.alias(DST))), rows=F.count(F.lit(1)))
+    return pairs, seen["rows"]
+
+
+def _every(graph: Graph, pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """`found` [id, column] of the vertices that have a link, and zero for the others."""
+    zero = F.lit(0).cast("bigint")
+    if graph.derived:
+        alone = pairs.where(~F.coalesce(F.col(SRC) != F.col(DST), F.lit(False)))
+        return found.union(endpoints(alone).distinct().join(found, ID, "left_anti").select(ID, zero))
+    return graph.vertices.select(F.col(ID)).distinct().join(found, ID, "left").select(ID, F.coalesce(column, zero).alias(column))
 
 
 def k_core(graph: Graph, *, max_iters: int = 100, materialize_every: int = 1, checkpoint_dir: str | None = None) -> DataFrame:
     """[id, core]: core numbers, as the fixed point of each vertex taking the h-index of its neighbours' estimates.
 
-    The h-index comes from counts of neighbours per estimate, so no vertex's neighbours are gathered into one array. Once
-    few estimates change, a round looks only at the neighbours of those that did; that needs to know them, so every
-    round is written and materialize_every can only be 1.
+    Up to DENSE vertices of at most HUB neighbours each, blocks of them keep their links in arrays: in a round a task
+    brings its block to rest while the others' estimates stand, and these are one array that every round broadcasts.
+    Beyond that rounds are joins. A round needs to know what changed in the one before, so materialize_every can only be 1.
     """
     written_each_round(materialize_every)
-    ids = graph.vertices.select(F.col(ID)).distinct()
-    down = Window.partitionBy(ID).orderBy(F.desc("estimate"))
     with Store(graph.vertices.sparkSession, checkpoint_dir) as store:
-        links = store.resident(symmetrize(canonicalize(graph.edges)), SRC)
-        degrees = links.rows.groupBy(F.col(SRC).alias(ID)).agg(F.count(F.lit(1)).alias(CORE))
-        state, seen = store.measured(degrees.select(ID, CORE, F.lit(True).alias("less")), rows=F.count(F.lit(1)), less=F.count(F.lit(1)))
-        for _ in range(max_iters):
-            if not seen["less"]:
-                break
-            estimates = links.meets(state.select(F.col(ID).alias(SRC), F.col(CORE).alias("estimate")))
-            if SPARSE * seen["less"] < seen["rows"]:
-                near = links.meets(state.where("less").select(F.col(ID).alias(SRC))).select(DST).distinct()
-                estimates = estimates.join(near, DST, "left_semi")
-            heard = estimates.groupBy(F.col(DST).alias(ID), "estimate").agg(F.count(F.lit(1)).alias("n"))
-            index = heard.select(ID, F.least("estimate", F.sum("n").over(down)).alias("h")).groupBy(ID).agg(F.max("h").alias("h"))
-            core = F.least(CORE, F.coalesce("h", CORE))
-            after = state.join(index, ID, "left").select(ID, core.alias(CORE), (core < F.col(CORE)).alias("less"))
-            state, seen = store.measured(after, files_for(seen["rows"]), rows=F.count(F.lit(1)), less=F.count_if(F.col("less")))
-        if seen["less"]:
-            not_converged(max_iters)
-    return ids.join(state.select(ID, CORE), ID, "left").select(ID, F.coalesce(CORE, F.lit(0).cast("bigint")).alias(CORE))
+        pairs, rows = _pairs(graph, store)
+        links = symmetrize(drop_self_loops(pairs))
+        degrees = links.groupBy(F.col(SRC).alias(ID)).agg(F.count(F.lit(1)).alias(CORE))
+        blocks = max(1, -(-2 * rows // BLOCK))
+        # Blocks of neighbouring ids, which often are linked.
+        ranged = degrees.repartitionByRange(blocks, ID).withColumn("block", F.spark_partition_id())
+        ranged, seen = store.measured(ranged, rows=F.count(F.lit(1)), most=F.max(CORE))
+        if seen["rows"] <= DENSE and (seen["most"] or 0) <= tables.HUB:
+            found = _blocked_cores(pairs, ranged, seen["rows"], blocks, store, max_iters)
+        else:
+            found = _joined_cores(links, ranged.select(ID, CORE), store, max_iters)
+        return _every(graph, pairs, found, CORE)
+
+
+def _packed(table: pd.DataFrame) -> pd.DataFrame:
+    """A block's links as one row: its first vertex, and the numbers of neighbours and the neighbours of all in order."""
+    at, to = table["at"].to_numpy(), table["to"].to_numpy()
+    first = at.min()
+    counts = np.bincount(at - first).astype(np.int32)
+    return pd.DataFrame({"first": [first], "counts": [counts.tobytes()], "to": [to[np.argsort(at, kind="stable")].tobytes()]})
+
+
+def _settled(first: int, counts: np.ndarray, to: np.ndarray, estimates: np.ndarray) -> np.ndarray:
+    """A block's estimates when each is at most the h-index of its neighbours', the others' being as they are."""
+    estimates = estimates.copy()
+    own = estimates[first : first + len(counts)]
+    starts = np.cumsum(counts) - counts
+    while True:
+        enough = estimates[to] >= np.repeat(own, counts)
+        looked = np.flatnonzero(np.add.reduceat(enough, starts, dtype=np.int64) < own)
+        if not len(looked):
+            return own
+        n = counts[looked]
+        begin = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(begin, n)
+        heard = estimates[to[np.repeat(starts[looked], n) + within]]
+        heard = heard[np.lexsort((-heard, np.repeat(np.arange(len(n)), n)))]
+        own[looked] = np.maximum.reduceat(np.minimum(heard, within + 1), begin)
+
+
+def _blocked_cores(pairs: DataFrame, ranged: DataFrame, rows: int, blocks: int, store: Store, max_iters: int) -> DataFrame:
+    """[id, core] of the vertices [id, core (their degrees), block], which are numbered in the order of their blocks."""
+    spark = pairs.sparkSession
+    held = {r["block"]: r["count"] for r in ranged.groupBy("block").count().collect()}
+    if not held:
+        return ranged.select(ID, CORE)
+    offsets = spark.createDataFrame([(b, sum(n for a, n in held.items() if a < b)) for b in held], "block int, offset int")
+    place = (F.row_number().over(Window.partitionBy("block").orderBy(ID)) - 1 + F.col("offset")).cast("int")
+    numbered = store.keep(ranged.join(F.broadcast(offsets), "block").select(ID, "block", place.alias("place"), F.col(CORE).cast("int").alias(CORE)))
+    ends = drop_self_loops(pairs)
+    for end in (SRC, DST):
+        ends = ends.join(numbered.select(F.col(ID).alias(end), F.struct("block", "place").alias(f"{end}_at")), end).drop(end)
+    one = lambda end, other: F.struct(F.col(f"{end}_at.block").alias("block"), F.col(f"{end}_at.place").alias("at"), F.col(f"{other}_at.place").alias("to"))
+    both = ends.select(F.explode(F.array(one(SRC, DST), one(DST, SRC))).alias("link")).select("link.*").repartition(blocks, "block")
+    packed = store.keep(both.groupBy("block").applyInPandas(_packed, "first int, counts binary, to binary"))
+    estimates = np.zeros(rows, np.int32)
+    for r in packed.select("first", "counts").toLocalIterator():
+        counts = np.frombuffer(r["counts"], np.int32)
+        estimates[r["first"] : r["first"] + len(counts)] = counts
+    for _ in range(max_iters):
+        known = spark.sparkContext.broadcast(estimates)
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, counts, to in zip(*batch.columns):
+                    first, counts, to = first.as_py(), np.frombuffer(counts.as_buffer(), np.int32), np.frombuffer(to.as_buffer(), np.int32)
+                    after = _settled(first, counts, to, known.value)
+                    less = np.flatnonzero(after < known.value[first : first + len(counts)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([(less + first).astype(np.int32).tobytes()], pa.binary()), pa.array([after[less].tobytes()], pa.binary())], ["at", "core"])
+
+        changes = packed.mapInArrow(settle, "at binary, core binary").where("length(at) > 0").collect()
+        known.destroy()
+        if not changes:
+            break
+        for r in changes:
+            estimates[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["core"], np.int32)
+        if len(held) == 1:  # nothing outside that could change
+            break
+    else:
+        not_converged(max_iters)
+    known = spark.sparkContext.broadcast(estimates)
+    core = F.pandas_udf(lambda at: pd.Series(known.value[at.to_numpy()].astype(np.int64)), "bigint")
+    return store.keep(numbered.select(ID, core("place").alias(CORE)))
+
+
+def _joined_cores(links: DataFrame, degrees: DataFrame, store: Store, max_iters: int) -> DataFrame:
+    """[id, core] of the vertices that have a link, from their degrees.
+
+    The h-index comes from counts of neighbours per estimate, so no vertex's neighbours are gathered into one array. Once
+    few estimates change, a round looks only at the neighbours of those that did.
+    """
+    down = Window.partitionBy(ID).orderBy(F.desc("estimate"))
+    links = store.resident(links, SRC)
+    state, seen = store.measured(degrees.select(ID, CORE, F.lit(True).alias("less")), rows=F.count(F.lit(1)), less=F.count(F.lit(1)))
+    for _ in range(max_iters):
+        if not seen["less"]:
+            break
+        estimates = links.meets(state.select(F.col(ID).alias(SRC), F.col(CORE).alias("estimate")))
+        if SPARSE * seen["less"] < seen["rows"]:
+            near = links.meets(state.where("less").select(F.col(ID).alias(SRC))).select(DST).distinct()
+            estimates = estimates.join(near, DST, "left_semi")
+        heard = estimates.groupBy(F.col(DST).alias(ID), "estimate").agg(F.count(F.lit(1)).alias("n"))
+        index = heard.select(ID, F.least("estimate", F.sum("n").over(down)).alias("h")).groupBy(ID).agg(F.max("h").alias("h"))
+        core = F.least(CORE, F.coalesce("h", CORE))
+        after = state.join(index, ID, "left").select(ID, core.alias(CORE), (core < F.col(CORE)).alias("less"))
+        state, seen = store.measured(after, files_for(seen["rows"]), rows=F.count(F.lit(1)), less=F.count_if(F.col("less")))
+    if seen["less"]:
+        not_converged(max_iters)
+    return state.select(ID, CORE)
 
 
 def triangle_count(graph: Graph) -> DataFrame:

@@ -217,6 +217,18 @@ def test_sparse_rounds_of_cores(spark, monkeypatch):
     assert dict(pairs_of(lg.k_core(undirected(spark, e)), "id", "core")) == cores(e, {v for p in e for v in p})
 
 
+@pytest.mark.parametrize("block,dense", [(10**6, 10**6), (40, 10**6), (40, 0)])
+def test_cores_by_blocks(spark, monkeypatch, block, dense):
+    """One block, several, or joins: the same cores. A long path in a block is no matter of rounds."""
+    monkeypatch.setattr(structure, "BLOCK", block)
+    monkeypatch.setattr(structure, "DENSE", dense)
+    e = random_digraph(5, 40, 150, loops=True) + [(100 + k, 101 + k) for k in range(24)] + [(500, 500), (3, 100)]
+    before = store.Store.tables
+    got = pairs_of(lg.k_core(undirected(spark, e)), "id", "core")
+    assert dict(got) == cores(e, {v for p in e for v in p})
+    assert dense == 0 or store.Store.tables - before < 10
+
+
 def test_messages(spark):
     e = edges(spark, [(0, 1), (1, 2)])
     state = spark.createDataFrame([(0, 10), (1, 20), (2, 30)], "id long, value long")

@@ -165,23 +165,30 @@ def _joined_cores(links: DataFrame, degrees: DataFrame, store: Store, max_iters:
 def triangle_count(graph: Graph) -> DataFrame:
     """[id, triangle_count] of every vertex.
 
-    Edges point from the end of smaller degree (then id) to the other, so that even a hub has few outgoing edges, and
-    each triangle is one pair of edges out of a vertex that a third edge closes.
+    Edges point from the end of smaller degree (then id) to the other, so that even a hub has few outgoing edges, at most
+    the root of twice the edges. What comes after b in the list of a, and the list of b, have the third corners of the
+    triangles over an edge from a to b: a row for each edge is shuffled, and not one for each pair of edges out of a vertex.
     """
-    simple = canonicalize(graph.edges)
-    degrees = endpoints(simple).groupBy(ID).agg(F.count(F.lit(1)).alias("d"))
+    store = Store(graph.edges.sparkSession)
+    pairs, _ = _pairs(graph, store)
+    simple = drop_self_loops(pairs)
+    degrees = store.keep(endpoints(simple).groupBy(ID).agg(F.count(F.lit(1)).alias("d")))
     ranked = simple
     for end in (SRC, DST):
         ranked = ranked.join(degrees.select(F.col(ID).alias(end), F.struct("d", ID).alias(f"{end}_rank")), end)
-    up = F.col("src_rank") < F.col("dst_rank")
-    low, high = F.when(up, F.col(SRC)).otherwise(F.col(DST)), F.when(up, F.col(DST)).otherwise(F.col(SRC))
-    store = Store(graph.edges.sparkSession)
-    out = store.keep(ranked.select(low.alias("a"), high.alias("b"), F.greatest("src_rank", "dst_rank").alias("rank")))
-    wedges = out.join(out.select("a", F.col("b").alias("c"), F.col("rank").alias("other")), "a").where("rank < other").select("a", "b", "c")
-    closed = wedges.join(out.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
-    corners = closed.select(F.explode(F.array("a", "b", "c")).alias(ID)).groupBy(ID).agg(F.count(F.lit(1)).alias(TRIANGLES))
-    ids = graph.vertices.select(F.col(ID)).distinct()
-    return ids.join(corners, ID, "left").select(ID, F.coalesce(TRIANGLES, F.lit(0).cast("bigint")).alias(TRIANGLES))
+    low, high = F.least("src_rank", "dst_rank"), F.greatest("src_rank", "dst_rank")
+    out = ranked.select(low[ID].alias("a"), high.alias("b")).groupBy("a").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b[ID]).alias("out"))
+    out = store.keep(out)
+    later = out.select("a", "out", F.posexplode("out").alias("place", "b")).select("a", "b", F.slice("out", F.col("place") + 2, F.size("out")).alias("later")).where(F.size("later") > 0)
+    # By merging: the size of a file of lists says little about their size in memory, by which a broadcast would have to be chosen.
+    closed = later.join(out.select(F.col("a").alias("b"), "out").hint("merge"), "b").select("a", "b", F.array_intersect("later", "out").alias("c")).where(F.size("c") > 0)
+    one = lambda corner, n: F.struct(corner.alias(ID), n.cast("bigint").alias("n"))
+    ends = F.array(one(F.col("a"), F.size("c")), one(F.col("b"), F.size("c")))
+    corners = closed.select(F.explode(F.concat(ends, F.transform("c", lambda c: one(c, F.lit(1))))).alias("corner")).select("corner.*")
+    found = corners.groupBy(ID).agg(F.sum("n").alias(TRIANGLES))
+    if graph.derived:
+        found = degrees.join(found, ID, "left").select(ID, F.coalesce(TRIANGLES, F.lit(0).cast("bigint")).alias(TRIANGLES))
+    return _every(graph, pairs, found, TRIANGLES)
 
 
 def maximal_independent_set(graph: Graph, *, max_iters: int = 1000) -> DataFrame:

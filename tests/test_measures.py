@@ -229,6 +229,27 @@ def test_cores_by_blocks(spark, monkeypatch, block, dense):
     assert dense == 0 or store.Store.tables - before < 10
 
 
+@pytest.mark.parametrize("measure", [lg.k_core, lg.triangle_count])
+def test_edges_are_made_once(spark, measure):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    e = edges(spark, random_digraph(8, 12, 34)).mapInArrow(counted, "src long, dst long")
+    measure(lg.DirectedGraph(e)).collect()
+    assert made.value == 34
+
+
+def test_triangles_of_derived_vertices(spark):
+    e = random_digraph(8, 12, 34) + [(3, 3), (1, 0), (50, 50), (60, 61)]
+    assert dict(pairs_of(lg.triangle_count(undirected(spark, e)), "id", "triangle_count")) == triangles(e, {v for p in e for v in p})
+    odd = lg.triangle_count(undirected(spark, [(1, None), (1, 2)]))
+    assert pairs_of(odd, "id", "triangle_count") == {(1, 0), (2, 0), (None, 0)}
+
+
 def test_messages(spark):
     e = edges(spark, [(0, 1), (1, 2)])
     state = spark.createDataFrame([(0, 10), (1, 20), (2, 30)], "id long, value long")

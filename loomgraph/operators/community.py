@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.edges import canonicalize, symmetrize
 from loomgraph.names import CLUSTER, DST, ID, LABEL, SRC
-from loomgraph.operators.graph import Graph
+from loomgraph.operators.graph import Graph, endpoints
 from loomgraph.plans.fixed_point import not_converged
 from loomgraph.plans.store import Store, files_for
 
@@ -18,12 +18,14 @@ def label_propagation(graph: Graph, *, max_iters: int = 10, materialize_every: i
 
     Parallel edges vote once each, and a self-loop votes twice. A vertex that hears nothing keeps its label.
     """
-    state = graph.vertices.select(F.col(ID)).distinct().select(ID, F.col(ID).alias(LABEL))
-    if graph.edges.isEmpty():
-        return state
     with Store(graph.vertices.sparkSession, checkpoint_dir) as store:
+        edges, seen = store.measured(graph.edges.select(SRC, DST), rows=F.count(F.lit(1)))
+        ids = endpoints(edges) if graph.derived else graph.vertices.select(F.col(ID))
+        state = ids.distinct().select(ID, F.col(ID).alias(LABEL))
+        if not seen["rows"]:
+            return state
         # Votes by neighbour: parallel edges are counted once and for all.
-        votes = store.resident(symmetrize(graph.edges.select(SRC, DST)).groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("votes")), SRC)
+        votes = store.resident(symmetrize(edges).groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("votes")), SRC)
         files = None
         for k in range(1, max_iters + 1):
             heard = votes.meets(state.select(F.col(ID).alias(SRC), LABEL)).groupBy(F.col(DST).alias(ID), LABEL).agg(F.sum("votes").alias("votes"))

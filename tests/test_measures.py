@@ -3,7 +3,9 @@ import random
 import warnings
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import loomgraph as lg
@@ -229,7 +231,7 @@ def test_cores_by_blocks(spark, monkeypatch, block, dense):
     assert dense == 0 or store.Store.tables - before < 10
 
 
-@pytest.mark.parametrize("measure", [lg.k_core, lg.triangle_count])
+@pytest.mark.parametrize("measure", [lg.k_core, lg.triangle_count, lg.label_propagation])
 def test_edges_are_made_once(spark, measure):
     made = spark.sparkContext.accumulator(0)
 
@@ -243,6 +245,16 @@ def test_edges_are_made_once(spark, measure):
     assert made.value == 34
 
 
+def test_a_table_of_one_file_is_not_made_by_one_task(spark):
+    def task(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().taskAttemptId()] * batch.num_rows)], ["task"])
+
+    made = spark.range(0, 800, 1, 8).mapInArrow(task, "task long")
+    for kept in (store.Store(spark).keep(made, 1), store.Store(spark).measured(made, 1, rows=F.count(F.lit(1)))[0]):
+        assert len(kept.inputFiles()) == 1 and kept.distinct().count() == 8 and kept.count() == 800
+
+
 def test_triangles_of_derived_vertices(spark):
     e = random_digraph(8, 12, 34) + [(3, 3), (1, 0), (50, 50), (60, 61)]
     assert dict(pairs_of(lg.triangle_count(undirected(spark, e)), "id", "triangle_count")) == triangles(e, {v for p in e for v in p})

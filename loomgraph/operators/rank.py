@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.edges import dedupe_edges
 from loomgraph.names import DST, ID, RANK, SOURCE, SRC
-from loomgraph.operators.graph import DirectedGraph
+from loomgraph.operators.graph import DirectedGraph, endpoints
 from loomgraph.plans.fixed_point import not_converged, written_each_round
 from loomgraph.plans.store import Store, files_for
 
@@ -24,7 +24,15 @@ def _known(vertices: DataFrame, wanted: Sequence[int]) -> set[int]:
 OBSERVED = 4
 
 
-def _power(graph: DirectedGraph, walks: dict[int, list[int] | None], damping: float, max_iters: int, tol: float, checkpoint_dir: str | None, n: int, ids: DataFrame) -> DataFrame:
+def _written(graph: DirectedGraph, store: Store) -> tuple[DataFrame, int, DataFrame, int]:
+    """(distinct edges, how many, vertices, how many) as tables, so that both are made once. Ends that are the vertices come from the edges."""
+    distinct, seen = store.measured(dedupe_edges(graph.edges), rows=F.count(F.lit(1)))
+    ids = endpoints(distinct) if graph.derived else graph.vertices.select(F.col(ID))
+    ids, held = store.measured(ids.distinct(), rows=F.count(F.lit(1)))
+    return distinct, seen["rows"], ids, held["rows"]
+
+
+def _power(distinct: DataFrame, derived: bool, walks: dict[int, list[int] | None], damping: float, max_iters: int, tol: float, store: Store, n: int, ids: DataFrame) -> DataFrame:
     """[walk, id, rank] for walks that restart at their seeds (None: anywhere).
 
     All walks move in one state, and a walk that has converged stays as it is. A round's sums for each walk, the mass on
@@ -33,10 +41,12 @@ def _power(graph: DirectedGraph, walks: dict[int, list[int] | None], damping: fl
     spark = ids.sparkSession
     seeds = spark.createDataFrame([(w, int(i), 1.0 / len(set(s))) for w, s in walks.items() if s is not None for i in set(s)], f"walk int, {ID} bigint, restart double")
     anywhere = [w for w, s in walks.items() if s is None]
-    distinct = dedupe_edges(graph.edges)
-    out = distinct.groupBy(SRC).agg(F.count(F.lit(1)).alias("out"))
+    out = store.keep(distinct.groupBy(SRC).agg(F.count(F.lit(1)).alias("out")))
     # Edges to vertices outside the table count for the out-degree, and what they carry is lost.
-    links = distinct.join(ids.select(F.col(ID).alias(DST)), DST, "left_semi").join(ids.select(F.col(ID).alias(SRC)), SRC, "left_semi").join(out, SRC)
+    inside = distinct
+    for end in () if derived else (DST, SRC):
+        inside = inside.join(ids.select(F.col(ID).alias(end)), end, "left_semi")
+    links = inside.join(out, SRC)
     every = ids.join(F.broadcast(spark.createDataFrame([(w,) for w in walks], "walk int")))
     restart = F.when(F.col("walk").isin(anywhere), F.lit(1.0 / n)).otherwise(F.coalesce("restart", F.lit(0.0))) if anywhere else F.coalesce("restart", F.lit(0.0))
     base = every.join(seeds, ["walk", ID], "left").join(out.select(F.col(SRC).alias(ID), F.lit(False).alias("linked")), ID, "left")
@@ -51,7 +61,7 @@ def _power(graph: DirectedGraph, walks: dict[int, list[int] | None], damping: fl
         state, seen = store.measured(state, files, **{f"loose_{w}": own(w, F.when(F.col("sink"), F.col(RANK)).otherwise(0.0)) for w in live}, **{f"moved_{w}": own(w, F.col("moved")) for w in live})
         return state, [(w, seen[f"loose_{w}"], seen[f"moved_{w}"]) for w in live]
 
-    with Store(spark, checkpoint_dir) as store:
+    with store:
         links = store.resident(links.select(SRC, DST, "out"), SRC)
         base = store.keep(base.select("walk", ID, restart.alias("restart"), F.col("linked").isNull().alias("sink")))
         live, done = list(walks), []
@@ -88,8 +98,8 @@ def pagerank(graph: DirectedGraph, *, damping: float = 0.85, max_iters: int = 10
     left out; a ValueError if none is left. Without edges the ranks are the restart distribution.
     """
     written_each_round(materialize_every)
-    ids = graph.vertices.select(F.col(ID)).distinct()
-    n = ids.count()
+    store = Store(graph.edges.sparkSession, checkpoint_dir)
+    distinct, rows, ids, n = _written(graph, store)
     if n == 0:
         return ids.select(ID, F.lit(0.0).alias(RANK))
     seeds = None
@@ -97,10 +107,10 @@ def pagerank(graph: DirectedGraph, *, damping: float = 0.85, max_iters: int = 10
         seeds = sorted(_known(ids, source_ids)) if source_ids else []
         if not seeds:
             raise ValueError("none of source_ids is a vertex")
-    if graph.edges.isEmpty():
+    if not rows:
         start = F.lit(1.0 / n) if seeds is None else F.when(F.col(ID).isin(seeds), 1.0 / len(seeds)).otherwise(0.0)
         return ids.select(ID, start.alias(RANK))
-    return _power(graph, {0: seeds}, damping, max_iters, tol, checkpoint_dir, n, ids).select(ID, RANK)
+    return _power(distinct, graph.derived, {0: seeds}, damping, max_iters, tol, store, n, ids).select(ID, RANK)
 
 
 def parallel_personalized_pagerank(graph: DirectedGraph, source_ids: Sequence[int], *, damping: float = 0.85, max_iters: int = 100, tol: float = 1e-6, materialize_every: int = 1, checkpoint_dir: str | None = None) -> DataFrame:
@@ -109,17 +119,17 @@ def parallel_personalized_pagerank(graph: DirectedGraph, source_ids: Sequence[in
     wanted = [int(i) for i in source_ids]
     if not wanted:
         raise ValueError("source_ids is empty")
-    ids = graph.vertices.select(F.col(ID)).distinct()
-    n = ids.count()
+    store = Store(graph.edges.sparkSession, checkpoint_dir)
+    distinct, rows, ids, n = _written(graph, store)
     if n == 0:
         return ids.select(ID, F.lit(0).cast("bigint").alias(SOURCE), F.lit(0.0).alias(RANK))
     if missing := sorted(set(wanted) - _known(ids, wanted)):
         raise ValueError(f"{missing} are no vertices")
     walks = dict(enumerate(sorted(set(wanted))))
-    if graph.edges.isEmpty():
+    if not rows:
         spark = ids.sparkSession
         ranked = ids.join(F.broadcast(spark.createDataFrame(list(walks.items()), f"walk int, {SOURCE} bigint"))).select("walk", ID, (F.col(ID) == F.col(SOURCE)).cast("double").alias(RANK))
     else:
-        ranked = _power(graph, {w: [s] for w, s in walks.items()}, damping, max_iters, tol, checkpoint_dir, n, ids)
+        ranked = _power(distinct, graph.derived, {w: [s] for w, s in walks.items()}, damping, max_iters, tol, store, n, ids)
     places = ids.sparkSession.createDataFrame([(w, s) for w, s in walks.items() for _ in range(wanted.count(s))], f"walk int, {SOURCE} bigint")
     return ranked.join(F.broadcast(places), "walk").select(ID, SOURCE, RANK)

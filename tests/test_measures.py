@@ -231,7 +231,7 @@ def test_cores_by_blocks(spark, monkeypatch, block, dense):
     assert dense == 0 or store.Store.tables - before < 10
 
 
-@pytest.mark.parametrize("measure", [lg.k_core, lg.triangle_count, lg.label_propagation])
+@pytest.mark.parametrize("measure", [lg.k_core, lg.triangle_count, lg.label_propagation, lg.pagerank])
 def test_edges_are_made_once(spark, measure):
     made = spark.sparkContext.accumulator(0)
 
